@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, prepared
@@ -31,7 +32,7 @@ class Best:
     """The k best (score, smaller id, smaller row) of each query so far."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.score, self.key, self.row = k, np.full((n, k), np.iinfo(np.int64).min), np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -1)
+        self.k, self.score, self.key, self.row = k, np.full((n, k), -(1 << 62)), np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -1)
 
     def offer(self, q: np.ndarray, score: np.ndarray, key: np.ndarray, row: np.ndarray) -> None:
         if not len(q):
@@ -126,9 +127,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     # Blocks against blocks: one row a block and side. A share has every stripes-th block, longest first.
     stripes = max(1, min(partitions(rows), -(-candidates.count() // STRIPE)), -(-candidates.count() // STRIPE))
     dealt = candidates.withColumn("stripe", F.pmod(F.xxhash64("block", F.lit(seed)), F.lit(stripes)))
-    pairs = asked.select("asked").crossJoin(F.broadcast(rows.sparkSession.range(stripes).select(F.col("id").alias("stripe"))))
-    left = asked.join(pairs, "asked").select("asked", "stripe", F.lit(float("inf")).alias("longest"), "vectors", "ids", "rows")
-    right = dealt.join(pairs, "stripe").select("asked", "stripe", "longest", "vectors", "ids", "rows")
+    numbers = [r["asked"] for r in asked.select("asked").collect()]  # one a block of queries
+    left = asked.select("asked", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).cast("long").alias("stripe"), F.lit(float("inf")).alias("longest"), "vectors", "ids", "rows")
+    right = dealt.select(F.explode(F.lit(numbers).cast("array<long>")).alias("asked"), "stripe", "longest", "vectors", "ids", "rows")
     tasks = left.unionByName(right).repartition(partitions(rows), "asked", "stripe").sortWithinPartitions("asked", "stripe", F.desc("longest"))
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,8 +139,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
                     v = np.frombuffer(r.vectors, np.int32).reshape(-1, width).astype(np.float64)
                     yield (r.asked, r.stripe), np.isinf(r.longest), v, np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows, np.int64)
 
-        from itertools import groupby
-
         for _, part in groupby(parts(), key=lambda p: p[0]):
             _, is_query, q, q_ids, q_rows = next(part)
             if not is_query:
@@ -150,8 +149,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
 
     found = tasks.mapInPandas(met, "query_id long, query_row long, key long, row long, score long")
     order = (F.desc("score"), F.asc("key"), F.asc("row"))
-    from pyspark.sql import Window
-
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(*order))).where(F.col("rank") <= k)
     id_ = F.when(F.col("key") < F.lit(int(np.iinfo(np.int64).max)), F.col("key"))
     return ranked.select("query_id", "rank", id_.alias(id_col), "score")
