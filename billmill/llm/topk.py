@@ -128,7 +128,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     stripes = max(1, min(partitions(rows), -(-candidates.count() // STRIPE)), -(-candidates.count() // STRIPE))
     dealt = candidates.withColumn("stripe", F.pmod(F.xxhash64("block", F.lit(seed)), F.lit(stripes)))
     numbers = [r["asked"] for r in asked.select("asked").collect()]  # one a block of queries
-    left = asked.select("asked", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).cast("long").alias("stripe"), F.lit(float("inf")).alias("longest"), "vectors", "ids", "rows")
+    left = asked.select("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("stripe"), F.lit(float("inf")).alias("longest"), "vectors", "ids", "rows")
     right = dealt.select(F.explode(F.lit(numbers).cast("array<long>")).alias("asked"), "stripe", "longest", "vectors", "ids", "rows")
     tasks = left.unionByName(right).repartition(partitions(rows), "asked", "stripe").sortWithinPartitions("asked", "stripe", F.desc("longest"))
 
