@@ -30,7 +30,7 @@ def hot_windows(text: str, width: int, least: float) -> list[tuple[int, int]]:
 
     Counts are kept as the window slides: a letter that comes or goes changes one term of sum(n log n).
     """
-    term = [n * math.log2(n) if n else 0.0 for n in range(width + 1)]
+    term = [n * math.log2(n) if n else 0.0 for n in range(width + 2)]
     counts: dict[str, int] = {}
     total, most, out = 0.0, (math.log2(width) - least) * width + 1e-9, []
     for i, c in enumerate(text):

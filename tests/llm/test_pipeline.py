@@ -1,0 +1,41 @@
+"""The pipeline's stages against what each has to do, and the registered queries' SQL on the smallest tables."""
+
+from collections import Counter
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from billmill.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept, before = docs, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept, before = stage(spark, before, SF).cache(), kept
+        assert kept.columns == docs.columns
+        ids = Counter(r.doc_id for r in kept.collect())
+        assert set(ids) <= {r.doc_id for r in before.collect()}
+        if name == "near duplicates":
+            assert max(ids.values()) == 1 and len(ids) < before.count()
+        if name == "secrets":
+            assert ids == Counter(r.doc_id for r in before.collect())
+            assert all(r.n_chars == len(r.text) for r in kept.collect())
+        before = kept
+    got = corpus_pipeline.packed(spark, kept, SF).collect()
+    assert Counter(r.doc_id for r in got if r.start == 0) == Counter(r.doc_id for r in kept.collect())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = sorted(c[0] for c in want.description)
+    order = [[c[0] for c in want.description].index(c) for c in columns]
+    got = queries.QUERIES[name](spark, SF).select(columns)
+    assert Counter(map(tuple, got.collect())) == Counter(tuple(r[i] for i in order) for r in want.fetchall())
