@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SEED, POWER = 42, 0.5
+#: Up to so many sources are sent to every task; more meet their documents by a shuffled join.
+FEW = 2000
 
 
 def uniform(*parts: Column | str, seed: int = SEED) -> Column:
@@ -46,12 +50,14 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id
     number, and runs agree whatever the partitioning. A document's size is its text's length, 1 at least, also for
     null and empty texts. A null source is a source of its own. Three columns come first: mix_copy (from 0), mix_rate
     and mix_key, by which rows are dealt and sorted; docs' columns of these names are replaced, all others stay. An
-    empty table gives no rows. One row a source meets the documents by a join that Spark splits where a source is hot.
+    empty table gives no rows. One row a source meets the
+    documents: broadcast if the sources are FEW (counted), or else by a join that Spark splits where a source is hot.
     """
     names = [c for c in docs.columns if c not in ("mix_copy", "mix_rate", "mix_key")]
     size = F.greatest(F.coalesce(F.length(text_col), F.lit(0)), F.lit(1)).cast("long")
     table = rates(docs, targets, source_col, size).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.col("cdf").alias("mix_cdf"))
-    # The id's own MD5 is the draw; a null-safe key lets null sources join by hash.
+    table = cut(table)
+    table = F.broadcast(table) if table.count() <= FEW else table
     rows = docs.select(*(F.col(f"`{c}`") for c in names)).join(table, F.col(source_col).eqNullSafe(F.col("mix_source")))
     drawn = rows.withColumn("mix_u", uniform(id_col, seed=seed)).withColumn("mix_n", F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u"))))
     copies = drawn.where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
