@@ -15,7 +15,7 @@ from billmill.llm.common import prepared
 #: SQL can't express the fingerprints, the classifier and the tokenizer; the tests compare the rows with brute force.
 ORACLE_SQL = None
 #: A document of no known language, or of one that gets a smaller share than this of the classes' odds, goes.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 RANKS = "byte_bpe_50k.tiktoken"
 
 
