@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from ..operators import accrual, documents, matching, reports, rules
+from ..operators import accrual, documents, matching, reports, rules, spoken
 from ..sources import bridge
 from ..streaming import jobs
 
@@ -260,3 +260,15 @@ register("resolve_exact_tiers", B + "SELECT c_custkey AS ask_id, CASE WHEN c_cus
 register("resolve_fuzzy", None)(lambda s, d: matching.fuzzy(Ledger(s, d).part.selectExpr("p_partkey AS ask_id", "concat(p_name, ' s') AS name", "p_brand AS block").where("ask_id % 2 = 0"), Ledger(s, d).part.selectExpr("p_partkey AS party_id", "p_name AS name", "p_brand AS block")))
 register("job_requeue", "SELECT event_id AS id, CASE WHEN ts < TIMESTAMP '2024-01-15' - INTERVAL 30 MINUTE THEN 'queued' ELSE 'running' END AS status FROM events WHERE event_type = 'error' OR user_id % 4 = 0")(
     lambda s, d: jobs.requeued(Ledger(s, d).events.where("event_type = 'error' OR user_id % 4 = 0").select(F.col("event_id").alias("id"), F.lit("running").alias("status"), F.col("ts").alias("started_at")), "2024-01-15").select("id", "status"))
+
+# --- Spoken deals ---------------------------------------------------------------------------------------------------
+
+SAID = "SELECT l_orderkey AS id, l_linenumber AS line, (l_quantity::DECIMAL(10,0) * 0.125::DECIMAL(4,3))::DECIMAL(16,3) AS quantity, l_extendedprice::DECIMAL(16,2) AS rate FROM lineitem"
+register("trade_values", f"SELECT id, line, round_even((quantity::DECIMAL(18,3) * rate::DECIMAL(18,2))::DECIMAL(36,5), 2)::DOUBLE AS value FROM ({SAID})")(
+    lambda s, d: Ledger(s, d).lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), spoken.value((F.col("l_quantity").cast("decimal(10,0)") * F.lit("0.125").cast("decimal(4,3)")).cast("decimal(16,3)"), F.col("l_extendedprice").cast("decimal(16,2)")).cast("double").alias("value")))
+register("read_back", "SELECT p_partkey AS id, 'Acme sells to Bharat ' || (p_size % 90 + 10) || ' bags of Cashew at 1,250' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE ' on credit' END AS sentence FROM part")(
+    lambda s, d: Ledger(s, d).part.select(F.col("p_partkey").alias("id"), F.concat(spoken.read_back(F.lit("Acme"), F.lit("Bharat"), F.lit("Cashew"), (F.col("p_size") % 90 + 10).cast("decimal(16,3)"), F.lit("BAGS"), F.lit(1250).cast("decimal(16,2)")), F.expr("IF(p_partkey % 2 = 0, '', ' on credit')")).alias("sentence")))
+register("spoken_numbers", "SELECT p_partkey AS id, (800 + p_partkey % 10 + 10)::BIGINT AS concatenated, (3 * 1000 + 20 + p_partkey % 10)::BIGINT AS scaled FROM part")(
+    lambda s, d: Ledger(s, d).part.select(F.col("p_partkey").alias("id"), spoken.number(F.concat(F.lit("eight "), F.element_at(F.array(*map(F.lit, spoken.TEENS)), (F.col("p_partkey") % 10 + 1).cast("int")))).alias("concatenated"), spoken.number(F.concat(F.lit("three thousand twenty "), F.element_at(F.array(*map(F.lit, spoken.DIGITS)), (F.col("p_partkey") % 10 + 1).cast("int")))).alias("scaled")))
+register("clip_labels", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'confirmed' ELSE 'corrected' END AS label FROM conversations")(
+    lambda s, d: Ledger(s, d).conversations.select("conv_id", "turn", spoken.label(F.concat(F.lit(" "), F.col("text"), F.lit(" ")), F.expr("IF(turn % 2 = 0, trim(BOTH ' \\n\\t' FROM text), concat('x', text))")).alias("label")))
