@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from ..operators import accrual, documents, matching, reports, rules, spoken
+from ..operators import accrual, documents, layout, lifecycle, matching, reports, rules, sentences, spoken
 from ..sources import bridge
 from ..streaming import jobs
 
@@ -272,3 +274,69 @@ register("spoken_numbers", "SELECT p_partkey AS id, (800 + p_partkey % 10 + 10):
     lambda s, d: Ledger(s, d).part.select(F.col("p_partkey").alias("id"), spoken.number(F.concat(F.lit("eight "), F.element_at(F.array(*map(F.lit, spoken.TEENS)), (F.col("p_partkey") % 10 + 1).cast("int")))).alias("concatenated"), spoken.number(F.concat(F.lit("three thousand twenty "), F.element_at(F.array(*map(F.lit, spoken.DIGITS)), (F.col("p_partkey") % 10 + 1).cast("int")))).alias("scaled")))
 register("clip_labels", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'confirmed' ELSE 'corrected' END AS label FROM conversations")(
     lambda s, d: Ledger(s, d).conversations.select("conv_id", "turn", spoken.label(F.concat(F.lit(" "), F.col("text"), F.lit(" ")), F.expr("IF(turn % 2 = 0, trim(BOTH ' \\n\\t' FROM text), concat('x', text))")).alias("label")))
+
+DEALS = "concat('C', p_partkey % 90 + 10, ' se V', p_partkey % 80 + 10, ' ko ', p_size % 90 + 10, ' bori kaju ', 1000 + p_partkey % 900, ' mein')"
+register("spoken_trades", """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'Micron' ELSE 'C' || (p_partkey % 90 + 10) END AS seller, CASE WHEN p_partkey % 3 = 0 THEN 'Virat Agro' ELSE 'V' || (p_partkey % 80 + 10) END AS buyer,
+  CASE WHEN p_partkey % 3 = 0 THEN 'Almond' ELSE 'Cashew' END AS goods, CASE WHEN p_partkey % 3 = 0 THEN 33 ELSE p_size % 90 + 10 END::DOUBLE AS quantity, 'BAGS' AS uom, CASE WHEN p_partkey % 3 = 0 THEN 1250 ELSE 1000 + p_partkey % 900 END::DOUBLE AS rate FROM part""")(
+    lambda s, d: sentences.deals(Ledger(s, d).part.selectExpr("p_partkey AS id", f"IF(p_partkey % 3 = 0, 'haan ji, from Micron to Virat Agro thirty-three bags badam rate twelve fifty', {DEALS}) AS text")).select("id", "seller", "buyer", "goods", "quantity", "uom", "rate"))
+
+# --- A bill's life --------------------------------------------------------------------------------------------------
+
+FILES = "CASE doc_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.txt' WHEN 2 THEN '.png' ELSE '.pdf' END"
+register("upload_outcomes", f"""WITH f AS (SELECT doc_id AS id, sha256(text) AS sha256, lower({FILES}) AS suffix, CASE WHEN coalesce(strlen(text), 0) = 0 THEN 'empty' WHEN strlen(text) > 4000 THEN 'too_large' WHEN doc_id % 5 = 1 THEN 'bad_suffix' END AS refused FROM documents),
+o AS (SELECT *, coalesce(refused, CASE WHEN row_number() OVER (PARTITION BY sha256, CASE WHEN refused IS NOT NULL THEN id END ORDER BY id) > 1 THEN 'duplicate' ELSE 'stored' END) AS outcome FROM f)
+SELECT id, sha256, outcome, CASE WHEN outcome = 'stored' THEN 'files/' || sha256[1:2] || '/' || sha256[3:4] || '/' || sha256 || suffix END AS path FROM o""")(
+    lambda s, d: lifecycle.arrivals(Ledger(s, d).documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("d"), F.expr(FILES)).alias("filename"), F.encode("text", "UTF-8").alias("content")), 4000))
+register("page_texts", "SELECT conv_id, string_agg('--- page ' || turn || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY 1")(
+    lambda s, d: lifecycle.page_texts(Ledger(s, d).conversations, "conv_id", "turn", "text"))
+register("bill_rows", B + "SELECT invoice_id, to_json(list({'line_no': line_no, 'product_id': product_id} ORDER BY line_no))::VARCHAR AS json FROM lines GROUP BY 1")(
+    lambda s, d: lifecycle.nested(Ledger(s, d).lines.select("invoice_id", F.col("line_no").cast("long").alias("line_no"), "product_id"), "invoice_id", "line_no", ["product_id"]))
+register("bill_rows_flat", B + "SELECT invoice_id, line_no, product_id FROM lines")(lambda s, d: lifecycle.unnested(QUERIES["bill_rows"](s, d), "invoice_id", "line_no: bigint, product_id: bigint"))
+register("derived_totals", B + """SELECT id, CASE WHEN id % 3 = 0 THEN t ELSE taxable_value END::DOUBLE AS taxable_value, CASE WHEN id % 5 = 0 THEN q ELSE total_quantity END::DOUBLE AS total_quantity, CASE WHEN n = 1 THEN u END AS uom
+FROM invoices LEFT JOIN (SELECT invoice_id, sum(taxable_amount) AS t, sum(quantity) AS q, count(DISTINCT CASE WHEN product_id % 10 = 0 THEN 'BAG' ELSE 'KGS' END) AS n, min(CASE WHEN product_id % 10 = 0 THEN 'BAG' ELSE 'KGS' END) AS u FROM lines GROUP BY 1) ON id = invoice_id""")(
+    lambda s, d: lifecycle.filled(Ledger(s, d).invoices.selectExpr("id", "IF(id % 3 = 0, NULL, taxable_value) AS taxable_value", "IF(id % 5 = 0, NULL, total_quantity) AS total_quantity", "CAST(NULL AS STRING) AS uom"), Ledger(s, d).plain_lines.selectExpr("invoice_id", "taxable_amount", "quantity", "IF(product_id % 10 = 0, 'BAG', 'KGS') AS uom")).withColumns({c: F.col(c).cast("double") for c in ("taxable_value", "total_quantity")}))
+register("charge_totals", B + """SELECT invoice_id, coalesce(-sum(taxable_amount) FILTER (line_no % 5 = 0), 0)::DOUBLE AS discounts, coalesce(sum(taxable_amount) FILTER (line_no % 5 = 1), 0)::DOUBLE AS round_off,
+  coalesce(sum(taxable_amount) FILTER (line_no % 5 = 2), 0)::DOUBLE AS collected, coalesce(sum(taxable_amount) FILTER (line_no % 5 > 2), 0)::DOUBLE AS additions FROM lines GROUP BY 1""")(
+    lambda s, d: lifecycle.charge_totals(Ledger(s, d).lines.selectExpr("invoice_id", "element_at(array('discount', 'round_off', 'tcs', 'freight', 'labour'), CAST(line_no % 5 + 1 AS INT)) AS kind", "taxable_amount AS amount")).selectExpr("invoice_id", *(f"CAST({c} AS DOUBLE) AS {c}" for c in ("discounts", "round_off", "collected", "additions"))))
+
+
+def edits(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    bills = Ledger(s, d).invoices.select("id", "invoice_number", "status")
+    asked = bills.selectExpr("id", "inline(filter(array(IF(id % 7 = 0, struct('invoice_number' AS field, 'EDIT' AS value), NULL), IF(id % 14 = 0, struct('status' AS field, 'confirmed' AS value), NULL), IF(id % 5 = 0, struct('id' AS field, '1' AS value), NULL)), x -> x IS NOT NULL))")
+    return lifecycle.edited(bills, asked, ["invoice_number", "status"])
+
+
+register("edited_bills", B + "SELECT id, CASE WHEN id % 7 = 0 THEN 'EDIT' ELSE invoice_number END AS invoice_number, CASE WHEN id % 14 = 0 THEN 'confirmed' ELSE status END AS status FROM invoices")(lambda s, d: edits(s, d)[0])
+register("edit_log", B + "SELECT id, 'invoice_number' AS field, invoice_number AS before, 'EDIT' AS after FROM invoices WHERE id % 7 = 0 UNION ALL SELECT id, 'status', status, 'confirmed' FROM invoices WHERE id % 14 = 0 AND status <> 'confirmed'")(lambda s, d: edits(s, d)[1])
+register("confirm_gate", f"WITH f AS ({ORACLES['flags_totals']}) SELECT o_orderkey AS id, o_orderkey NOT IN (SELECT invoice_id FROM f WHERE severity = 'error' AND invoice_id % 2 <> 0) OR o_orderkey % 10 = 1 AS ok FROM orders")(
+    lambda s, d: lifecycle.confirmable(Ledger(s, d).invoices, rules.totals(extra(s, d)).withColumn("resolved", F.col("invoice_id") % 2 == 0), F.col("id") % 10 == 1))
+register("field_scores", B + """SELECT field, count(*) FILTER (ok) AS hits, count(*) AS total, round(100 * count(*) FILTER (ok) / count(*), 1) AS percent FROM (
+  SELECT 'grand_total' AS field, id % 50 <> 0 AND id % 3 < 2 AS ok FROM invoices UNION ALL SELECT 'invoice_number', id % 50 <> 0 FROM invoices UNION ALL SELECT 'financial_year', id % 50 <> 0 AND id % 9 <> 0 FROM invoices) GROUP BY 1""")(
+    lambda s, d: lifecycle.scores((v := Ledger(s, d).invoices.select("id", "grand_total", "invoice_number", "financial_year")), v.where("id % 50 <> 0").selectExpr("id", "grand_total + id % 3 AS grand_total", "lower(replace(invoice_number, '-', ' ')) AS invoice_number", "IF(id % 9 = 0, 'x', financial_year) AS financial_year"), {"grand_total": "money", "invoice_number": "text", "financial_year": "exact"}))
+register("supply_types", B + EXTRA + "SELECT id, CASE WHEN seller_state = buyer_state THEN 'intra' WHEN seller_state <> buyer_state THEN 'inter' END AS supply_type FROM extra")(lambda s, d: extra(s, d).select("id", lifecycle.supply_type(F.col("seller_state"), F.col("buyer_state")).alias("supply_type")))
+register("pans", "SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'ABCDE' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') || 'F' END AS pan FROM part")(
+    lambda s, d: Ledger(s, d).part.select(F.col("p_partkey").alias("id"), lifecycle.pan(C.alnum_upper(F.expr("concat('27 abcd', IF(p_partkey % 3 = 1, '1', 'e'), lpad(CAST(p_partkey % 10000 AS STRING), 4, '0'), 'f1z', IF(p_partkey % 3 = 2, '', '5'))"))).alias("pan")))
+
+
+def page_cells(s: SparkSession, d: str) -> DataFrame:
+    """Names, brands and types of parts laid out three words a line, the second and third close to each other."""
+    said = Ledger(s, d).part.selectExpr("p_partkey AS doc", "posexplode(split(concat_ws(' ', p_name, p_brand, p_type), ' ')) AS (k, text)")
+    words = said.selectExpr("doc", "1 AS page", "CAST(element_at(array(0, 40, 70), k % 3 + 1) AS DOUBLE) AS x0", "CAST(element_at(array(20, 60, 90), k % 3 + 1) AS DOUBLE) AS x1", "CAST(k DIV 3 * 12 + k % 2 * 2 AS DOUBLE) AS y", "text")
+    heads = words.select("doc", "page").distinct().selectExpr("doc", "page", "inline(array(struct('A' AS name, 0D AS x0, 20D AS x1), struct('B' AS name, 40D AS x0, 90D AS x1)))")
+    return layout.in_columns(layout.cells(layout.lines(words)), heads).select("doc", "line", "cell", "text", F.col("column").alias("head"))
+
+
+register("page_cells", """WITH p AS (SELECT p_partkey AS doc, string_split(concat_ws(' ', p_name, p_brand, p_type), ' ') AS ws FROM part), w AS (SELECT doc, ws, unnest(range(0, len(ws))) AS k FROM p)
+SELECT doc, k // 3 AS line, (k % 3 > 0)::BIGINT AS cell, string_agg(ws[k + 1], ' ' ORDER BY k) AS text, CASE WHEN k % 3 = 0 THEN 'A' ELSE 'B' END AS head FROM w GROUP BY doc, k // 3, k % 3 > 0, CASE WHEN k % 3 = 0 THEN 'A' ELSE 'B' END""")(page_cells)
+
+
+def ingest_stream(s: SparkSession, d: str) -> DataFrame:
+    """Documents as arriving files, streamed into the shared folder; each content once."""
+    root = f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp()}/ingest-{uuid.uuid4()}"
+    docs = s.readStream.schema(bridge.read(s, d, "documents").schema).parquet(f"{d}/documents[.]parquet")  # as a pattern, since a stream takes no single file
+    files = docs.selectExpr("concat('d', doc_id, '.pdf') AS filename", "encode(coalesce(text, ''), 'UTF-8') AS content", "TIMESTAMP '2024-01-01' AS arrived")
+    jobs.ingest(files, f"{root}/out", f"{root}/state").awaitTermination()
+    return s.read.parquet(f"{root}/out").select("sha256", "path")
+
+
+register("ingest_stream", "SELECT DISTINCT sha256(coalesce(text, '')) AS sha256, 'files/' || sha256(coalesce(text, ''))[1:2] || '/' || sha256(coalesce(text, ''))[3:4] || '/' || sha256(coalesce(text, '')) AS path FROM documents")(ingest_stream)
