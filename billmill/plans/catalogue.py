@@ -6,10 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from ..functions import printed as P
 from ..operators import accrual, documents, layout, lifecycle, matching, reports, rules, sentences, spoken
 from ..sources import bridge
 from ..streaming import jobs
@@ -340,3 +341,31 @@ def ingest_stream(s: SparkSession, d: str) -> DataFrame:
 
 
 register("ingest_stream", "SELECT DISTINCT sha256(coalesce(text, '')) AS sha256, 'files/' || sha256(coalesce(text, ''))[1:2] || '/' || sha256(coalesce(text, ''))[3:4] || '/' || sha256(coalesce(text, '')) AS path FROM documents")(ingest_stream)
+
+# --- Print ----------------------------------------------------------------------------------------------------------
+
+
+def of_part(s: SparkSession, d: str, **columns: Column | str) -> DataFrame:
+    return Ledger(s, d).part.select(F.col("p_partkey").alias("id"), *(F.expr(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in columns.items()))
+
+
+register("printed_quantities", "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 = 3 THEN NULL WHEN p_partkey % 4 = 2 THEN -1 ELSE 1 END * (4000 + p_size)::DOUBLE AS number, CASE p_partkey % 4 WHEN 1 THEN NULL ELSE 'KGS' END AS unit FROM part")(
+    lambda s, d: of_part(s, d, q=P.quantity(F.expr("concat(' ', element_at(array('4,0', '4,0', '-4,0', 'kgs '), CAST(p_partkey % 4 + 1 AS INT)), IF(p_partkey % 4 = 3, '', concat(lpad(CAST(p_size AS STRING), 2, '0'), '.000')), IF(p_partkey % 4 = 1, '', ' kgs'))"))).select("id", "q.*"))
+register("document_types", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'credit_note' WHEN 1 THEN 'proforma_invoice' ELSE 'tax_invoice' END AS type FROM part")(
+    lambda s, d: of_part(s, d, type=P.document_type(F.expr("concat(p_name, repeat('\\n', IF(p_partkey % 4 = 2, 6, 3)), element_at(array('CREDIT Note', 'Proforma of a sale', 'Debit Note', 'Bill'), CAST(p_partkey % 4 + 1 AS INT)))"))))
+register("broker_names", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 2 THEN NULL ELSE 'NILESH BHAI C' || p_size END AS broker FROM part")(
+    lambda s, d: of_part(s, d, broker=P.broker(F.expr("IF(p_partkey % 3 = 2, ' .-', concat(' NILESH  BHAI C', p_size, IF(p_partkey % 3 = 0, ' 0.5% each', ' :')))"))))
+register("found_identifiers", "SELECT p_partkey AS id, 'p' || p_partkey || '@mill.in' AS email, 'ABCDE' || lpad((p_partkey % 10000)::VARCHAR, 4, '0') || 'F' AS pan, 400000 + p_partkey % 1000 || '' AS pin, CASE WHEN p_partkey % 2 = 0 THEN sha256(p_name) END AS irn FROM part")(
+    lambda s, d: of_part(s, d, text="concat('mail p', p_partkey, '@mill.in, PAN ABCDE', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0'), 'F;Pune ', 400000 + p_partkey % 1000, '\\nIRN ', left(sha2(p_name, 256), 40), '\\n', IF(p_partkey % 2 = 0, right(sha2(p_name, 256), 24), ''))")
+    .select("id", *(F.get(P.found(F.col("text"), k), F.lit(0)).alias(k) for k in ("email", "pan", "pin")), P.reference_number(F.col("text")).alias("irn")))
+STRFTIMES = ("%d-%b-%y", "%d-%b-%Y", "%d/%m/%Y", "%d/%m/%y", "%d-%m-%Y", "%d.%m.%Y", "%d %b %Y", "%Y-%m-%d")
+register("date_forms", f"SELECT o_orderkey AS id, {" || '|' || ".join(f"strftime(o_orderdate, '{f}')" for f in STRFTIMES)} AS forms FROM orders")(
+    lambda s, d: Ledger(s, d).orders.select(F.col("o_orderkey").alias("id"), F.array_join(P.date_forms(F.col("o_orderdate").cast("date")), "|").alias("forms")))
+register("number_forms", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 1 THEN p_size || '.50|' || p_size || '.500' ELSE p_size || '.00|' || p_size || '.000|' || p_size END AS forms FROM part")(
+    lambda s, d: of_part(s, d, forms=F.array_join(P.number_forms(F.expr("CAST(p_size + p_partkey % 2 * 0.5 AS DECIMAL(18,3))")), "|")))
+register("request_costs", "SELECT event_id AS id, CASE user_id % 3 WHEN 0 THEN (event_id * 5.0 + 200 * 25.0) / 1e6 WHEN 1 THEN (event_id * 1.0 + 200 * 5.0) / 1e6 END * CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1 END AS usd FROM events")(
+    lambda s, d: Ledger(s, d).events.select(F.col("event_id").alias("id"), P.cost({"large": (5.0, 25.0), "small": (1.0, 5.0)}, F.expr("element_at(array('large', 'small', 'other'), CAST(user_id % 3 + 1 AS INT))"), F.col("event_id"), F.lit(200), F.col("event_id") % 2 == 0).alias("usd")))
+register("settled_readings", """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'Cashew' ELSE 'Kaju W240' END AS goods, CASE WHEN p_partkey % 3 = 0 THEN 'Micron' ELSE 'C31' END AS seller, CASE WHEN p_partkey % 5 <> 0 THEN p_size::VARCHAR END AS quantity,
+  CASE WHEN p_partkey % 5 <> 0 THEN 'rules' ELSE 'unread' END AS quantity_by, CASE WHEN p_partkey % 5 = 0 OR p_size <> 10 THEN '10' END AS model_said FROM part""")(
+    lambda s, d: of_part(s, d, goods=P.settled("goods", F.lit("Cashew"), F.lit("Kaju W240"), F.expr("p_partkey % 2 = 0")), seller=P.settled("seller", F.expr("IF(p_partkey % 3 = 0, NULL, 'C31')"), F.lit("Micron"), F.lit(None)), q=P.settled("quantity", F.expr("IF(p_partkey % 5 = 0, NULL, p_size)"), F.lit(10), F.lit(None)))
+    .selectExpr("id", "goods.value AS goods", "seller.value AS seller", "q.value AS quantity", "q.read_by AS quantity_by", "q.model_said"))
