@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -14,20 +13,20 @@ PAGE = ["doc", "page"]
 
 def lines(words: DataFrame, tolerance: float = LINE) -> DataFrame:
     """words with line, from 0 down the page: a word is of the line above it while it is near the mean middle of that
-    line's words so far. The mean moves with each word, so a page is one group; it can't grow with the data."""
-
-    def numbered(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x0", "x1", "text"], kind="stable").reset_index(drop=True)
-        at, mean, n, out = -1, 0.0, 0, []
-        for y in page["y"]:
-            if at < 0 or abs(mean - y) > tolerance:
-                at, mean, n = at + 1, 0.0, 0
-            mean, n = (mean * n + y) / (n + 1), n + 1
-            out.append(at)
-        return page.assign(line=out)
-
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema)
-    return words.groupBy(*PAGE).applyInPandas(numbered, f"{kind}, line long")
+    line's words so far. The mean moves with each word, so a page's words are folded as one array; a page is bounded."""
+    first = ["y", "x0", "x1", "text"]
+    rest = [c for c in words.columns if c not in (*PAGE, *first)]
+    start = F.struct(F.lit(-1).cast("long").alias("at"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("n"), F.array().cast("array<bigint>").alias("out"))
+
+    def place(a: Column, w: Column) -> Column:
+        far = F.coalesce(F.abs(a["mean"] - w["y"]) > tolerance, F.lit(True)) | (a["at"] < 0)
+        at, n = F.when(far, a["at"] + 1).otherwise(a["at"]), F.when(far, F.lit(0.0)).otherwise(a["n"])
+        mean = F.when(far, w["y"].cast("double")).otherwise((a["mean"] * a["n"] + w["y"]) / (a["n"] + 1))
+        return F.struct(at.alias("at"), mean.alias("mean"), (n + 1).alias("n"), F.concat(a["out"], F.array(at)).alias("out"))
+
+    pages = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias("w"))
+    placed = pages.withColumn("line", F.aggregate("w", start, place, lambda a: a["out"]))
+    return placed.select(*PAGE, F.explode(F.arrays_zip("w", "line")).alias("z")).select(*PAGE, "z.w.*", "z.line")
 
 
 def cells(words: DataFrame, gap: float = GAP) -> DataFrame:
