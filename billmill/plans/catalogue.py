@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import printed as P
-from ..operators import accrual, documents, layout, lifecycle, matching, reports, rules, sentences, spoken
+from ..operators import accrual, documents, layout, lifecycle, matching, reports, rules, sentences, spoken, tables
 from ..sources import bridge
 from ..streaming import jobs
 
@@ -331,6 +331,35 @@ register("page_cells", """WITH p AS (SELECT p_partkey AS doc, string_split(conca
 SELECT doc, k // 3 AS line, (k % 3 > 0)::BIGINT AS cell, string_agg(ws[k + 1], ' ' ORDER BY k) AS text, CASE WHEN k % 3 = 0 THEN 'A' ELSE 'B' END AS head FROM w GROUP BY doc, k // 3, k % 3 > 0, CASE WHEN k % 3 = 0 THEN 'A' ELSE 'B' END""")(page_cells)
 
 
+def printed_bills(s: SparkSession, d: str) -> DataFrame:
+    """Bills as positioned words, a page each: a heading, the goods, packages beneath each third one, a total and its words."""
+    word = lambda x0, x1, y, text: f"struct(CAST({x0} AS DOUBLE) AS x0, CAST({x1} AS DOUBLE) AS x1, CAST({y} AS DOUBLE) AS y, CAST({text} AS STRING) AS text)"
+    lines = Ledger(s, d).lines.selectExpr("invoice_id AS doc", "line_no", "product_id", "quantity", "taxable_amount")
+    heading = [word(0, 8, 0, "'Sl'"), word(0, 10, 8, "'No.'"), word(30, 60, 0, "'Particulars'"), word(200, 240, 0, "'Quantity'"), word(380, 420, 0, "'Amount'")]
+    goods = [word(0, 6, "30 * line_no", "line_no"), word(30, 70, "30 * line_no", "concat('P', product_id)"), word(200, 222, "30 * line_no", "quantity"), word(226, 240, "30 * line_no", "'KGS'"), word(380, 420, "30 * line_no", "taxable_amount")]
+    packages = "IF(line_no % 3 = 0, array(" + word(30, 40, "30 * line_no + 10", "line_no") + ", " + word(42, 60, "30 * line_no + 10", "'Bags'") + "), array())"
+    total = [word(30, 50, "30 * n + 30", "'Grand'"), word(52, 70, "30 * n + 30", "'Total'"), word(380, 420, "30 * n + 30", "t"), word(30, 60, "30 * n + 60", "'Amount in words :'"), word(70, 200, "30 * n + 60", "concat('Nine Lakh and ', n, ' Thousand Only')")]
+    ends = lines.groupBy("doc").agg(F.max("line_no").alias("n"), F.sum("taxable_amount").alias("t"))
+    words = lines.selectExpr("doc", f"inline(concat(array({', '.join(goods)}), {packages}))").unionByName(ends.selectExpr("doc", f"inline(array({', '.join(heading + total)}))"))
+    return tables.by_line(layout.lines(words.selectExpr("doc", "1 AS page", "x0", "x1", "y", "text")))
+
+
+def goods_table(s: SparkSession, d: str) -> DataFrame:
+    bills = printed_bills(s, d)
+    table = tables.rows(bills, tables.headings(bills))
+    return table.select("doc", F.col("row").alias("line_no"), "serial", "quantity", "amount", "class", tables.beneath(F.col("description"), F.col("item_remarks"), F.col("extra")).alias("b")).select("*", "b.description", "b.bags").drop("b")
+
+
+register("goods_table", B + "SELECT invoice_id AS doc, line_no, line_no::VARCHAR AS serial, quantity::VARCHAR || ' KGS' AS quantity, taxable_amount::VARCHAR AS amount, 'goods' AS class, 'P' || product_id AS description, CASE WHEN line_no % 3 = 0 THEN line_no END::DOUBLE AS bags FROM lines")(goods_table)
+register("printed_totals", B + "SELECT invoice_id AS doc, sum(taxable_amount)::DOUBLE AS grand_total, 'Nine Lakh and ' || max(line_no) || ' Thousand Only' AS words FROM lines GROUP BY 1")(
+    lambda s, d: tables.totals(b := printed_bills(s, d)).where("field = 'grand_total'").select("doc", F.col("value").cast("double").alias("grand_total")).join(tables.in_words(b), "doc", "left"))
+register("tax_table", "SELECT o_orderkey AS doc, lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS hsn, 1000.0::DOUBLE AS taxable_value, CASE WHEN o_orderkey % 2 = 0 THEN 'cgst|sgst' ELSE 'igst' END AS heads, CASE WHEN o_orderkey % 2 = 0 THEN 50.0 ELSE 180.0 END::DOUBLE AS tax FROM orders")(
+    lambda s, d: tables.tax_rows(tables.by_line(layout.lines(Ledger(s, d).orders.selectExpr("o_orderkey AS doc", "1 AS page", """inline(transform(split(IF(o_orderkey % 2 = 0, concat('HSN Taxable CGST SGST/UTGST Total|', lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0'), ' 1,000.00 2.5 25.00 2.5 25.00 50.00'),
+      concat('HSN Taxable IGST Total|', lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0'), ' 1,000.00 18 180.00 180.00')), '[|]'), (t, i) -> struct(0D AS x0, 90D AS x1, i * 20D AS y, t AS text)))""")
+      .selectExpr("doc", "page", "posexplode(split(text, ' ')) AS (k, text)", "y").selectExpr("doc", "page", "k * 40D AS x0", "k * 40D + 30 AS x1", "y", "text"))))
+    .select("doc", "hsn", F.col("taxable_value").cast("double").alias("taxable_value"), F.array_join(F.transform("taxes", lambda t: t["head"]), "|").alias("heads"), F.aggregate("taxes", F.lit(0).cast("decimal(38,6)"), lambda a, t: (a + t["amount"]).cast("decimal(38,6)")).cast("double").alias("tax")))
+
+
 def ingest_stream(s: SparkSession, d: str) -> DataFrame:
     """Documents as arriving files, streamed into the shared folder; each content once."""
     root = f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp()}/ingest-{uuid.uuid4()}"
