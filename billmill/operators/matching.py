@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from ..functions.cleaning import name_key
 
@@ -95,6 +97,31 @@ def snap(heard: str, known: list[str], least: float = 65.0, margin: float = 6.0)
     return scored[0][1] if clear else heard
 
 
+def snapped(asked: DataFrame, known: DataFrame, least: float = 65.0, margin: float = 6.0) -> DataFrame:
+    """asked (ask_id, heard) with name: the known name (name) that heard stands for, by the rule of snap(), else heard.
+
+    Each spelling is scored once, and only against names of a length that allows a score of least - margin; others
+    can neither win nor stand in a winner's way (least has to be above margin). Lengths meet by bands, 1.25 times as long each.
+    """
+    tight = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    shortest = (least - margin) / (200 - (least - margin))
+    band, reach = lambda c: F.floor(F.log(F.length(c)) / math.log(1.25)), math.ceil(-math.log(shortest) / math.log(1.25))
+    said = asked.select("heard").where("heard is not null").distinct().withColumn("h", tight(F.col("heard"))).where(F.length("h") >= 3)
+    said = said.withColumn("band", F.explode(F.sequence(band("h") - reach, band("h") + reach)))
+    names = known.select("name").where("name is not null").distinct().withColumn("k", tight(F.col("name"))).where("k <> ''").withColumn("band", band("k"))
+    of_length = F.least(F.length("h"), F.length("k")) >= shortest * F.greatest(F.length("h"), F.length("k"))
+    pairs = said.join(names, "band").where(of_length).select("heard", "h", "name", "k")
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"heard": b["heard"], "name": b["name"], "score": [ratio(x, y) for x, y in zip(b["h"], b["k"], strict=True)]})
+
+    best = Window.partitionBy("heard").orderBy(F.desc("score"), F.desc("name"))
+    ranked = pairs.mapInPandas(scored, "heard string, name string, score double").withColumns({"n": F.row_number().over(best), "next": F.lead("score").over(best)}).where("n = 1")
+    clear = ranked.where((F.col("score") == 100) | ((F.col("score") >= least) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= margin))).select("heard", F.col("name").alias("_name"))
+    return asked.join(clear, "heard", "left").withColumn("name", F.coalesce("_name", "heard")).drop("_name")
+
+
 def merged(facts: DataFrame, keep: int, drop: int, columns: list[str]) -> DataFrame:
     """facts with one party's keys replaced by another's."""
     return facts.withColumns({c: F.when(F.col(c) == drop, F.lit(keep)).otherwise(F.col(c)) for c in columns})

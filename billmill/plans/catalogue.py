@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import printed as P
-from ..operators import accrual, documents, layout, lifecycle, matching, reports, rules, sentences, spoken, tables
+from ..operators import accrual, documents, labels, layout, lifecycle, matching, reports, rules, sentences, spoken, tables
 from ..sources import bridge
 from ..streaming import jobs
 
@@ -360,6 +360,21 @@ register("tax_table", "SELECT o_orderkey AS doc, lpad((o_orderkey % 10000)::VARC
     .select("doc", "hsn", F.col("taxable_value").cast("double").alias("taxable_value"), F.array_join(F.transform("taxes", lambda t: t["head"]), "|").alias("heads"), F.aggregate("taxes", F.lit(0).cast("decimal(38,6)"), lambda a, t: (a + t["amount"]).cast("decimal(38,6)")).cast("double").alias("tax")))
 
 
+def labelled_values(s: SparkSession, d: str) -> DataFrame:
+    """A number under its label, the broker to the right of theirs, a carrier's label with nothing, for each order."""
+    word = lambda x0, x1, y, text: f"struct({x0}D AS x0, {x1}D AS x1, {y}D AS y, {text} AS text)"
+    words = [word(0, 28, 0, "'Invoice'"), word(30, 40, 0, "'No.'"), word(100, 130, 0, "'Dated'"), word(0, 40, 12, "concat('NGA/', o_orderkey)"), word(100, 140, 12, "date_format(o_orderdate, 'd-MMM-yy')")]
+    words += [word(0, 40, 40, "'Broker'"), word(42, 48, 40, "':'"), word(52, 90, 40, "concat('C', o_custkey)"), word(200, 240, 40, "'Destination'"), word(244, 280, 40, "o_orderpriority"), word(0, 90, 60, "'Transporter Name'"), word(0, 90, 72, "'Vehicle No'")]
+    page = tables.by_line(layout.lines(Ledger(s, d).orders.selectExpr("o_orderkey AS doc", "1 AS page", f"inline(array({', '.join(words)}))")))
+    return labels.values(page, {"number": ("invoice no",), "date": ("dated",), "broker": ("broker name", "broker"), "to": ("destination",), "carrier": ("transporter name",)})
+
+
+register("labelled_values", """SELECT o_orderkey AS doc, 'number' AS field, 'NGA/' || o_orderkey AS value FROM orders UNION ALL SELECT o_orderkey, 'date', strftime(o_orderdate, '%-d-%b-%y') FROM orders
+UNION ALL SELECT o_orderkey, 'broker', 'C' || o_custkey FROM orders UNION ALL SELECT o_orderkey, 'to', o_orderpriority FROM orders""")(labelled_values)
+register("snapped_names", "SELECT c_custkey AS ask_id, CASE WHEN c_custkey % 3 = 0 THEN 'zzzz' ELSE c_mktsegment || ' Mart' END AS name FROM customer")(
+    lambda s, d: matching.snapped(Ledger(s, d).customer.selectExpr("c_custkey AS ask_id", "IF(c_custkey % 3 = 0, 'zzzz', concat(lower(left(c_mktsegment, length(c_mktsegment) - 1)), 'mart')) AS heard"), Ledger(s, d).customer.selectExpr("concat(c_mktsegment, ' Mart') AS name")).select("ask_id", "name"))
+
+
 def ingest_stream(s: SparkSession, d: str) -> DataFrame:
     """Documents as arriving files, streamed into the shared folder; each content once."""
     root = f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp()}/ingest-{uuid.uuid4()}"

@@ -4,7 +4,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from billmill.operators import layout, tables
+from billmill.operators import labels, layout, matching, tables
 
 SCHEMA = "doc int, page int, x0 double, x1 double, y double, text string"
 PAGE = [
@@ -85,3 +85,34 @@ def test_nothing(spark):
     assert tables.rows(lines, tables.headings(lines)).count() == tables.totals(lines).count() == tables.in_words(lines).count() == tables.tax_rows(lines).count() == 0
     blank = lined(spark, (1, 1, [(10, [(0, "")])]))
     assert tables.headings(blank).count() == tables.tax_rows(blank).count() == 0
+
+
+HEADER = [
+    (10, [(0, "Invoice"), (30, "No."), (100, "e-Way"), (130, "Bill"), (150, "No."), (250, "Dated")]),
+    (22, [(0, "14593"), (30, "/"), (36, "2026-27"), (100, "181234567890"), (250, "24-Jul-26")]),
+    (40, [(0, "Broker"), (35, "Name"), (60, ":"), (64, "NILESH"), (100, "BHAI"), (200, "Destination"), (256, ":"), (262, "Pune"), (400, "far")]),
+    (60, [(0, "Transporter"), (50, "Name")]),
+    (72, [(0, "4."), (10, "Transportation"), (80, "Details")]),
+    (90, [(0, "Broker"), (60, "SURESH")]),
+]
+
+
+def test_labels(spark):
+    lines = lined(spark, (1, 1, HEADER), (2, 1, HEADER[3:]), (3, 1, []))
+    fields = {"number": ("invoice no", "bill no"), "eway": ("e-way bill no",), "date": ("dated",), "broker": ("broker name", "broker"), "agent": ("broker",), "to": ("destination",), "carrier": ("transporter name",)}
+    got = {(r.doc, r.field): r.value for r in labels.values(lines, fields).collect()}
+    assert got == {(1, "number"): "14593 / 2026-27", (1, "eway"): "181234567890", (1, "date"): "24-Jul-26", (1, "broker"): "NILESH BHAI", (1, "to"): "Pune", (1, "agent"): "SURESH", (2, "broker"): "SURESH", (2, "agent"): "SURESH"}
+    assert {(r.doc, r.field, r.value) for r in labels.extras(lines).collect()} == {(1, "Destination", "Pune")}
+    captured = spark.createDataFrame([(1, "a broker")], "doc int, field string")
+    assert {tuple(r) for r in labels.gaps(lines, captured).collect()} == {(2, "a broker")}
+    assert labels.values(lines.limit(0), fields).count() == 0
+
+
+def test_snapping(spark):
+    known = ["Virat Agro", "Micron", "Nilesh Ganpule", "Cashew Mart", "Cashew Mars", None, "Ab"]
+    heard = ["virat agr", "Maikron", "nilesh ganpuley", "cashew ma", "CASHEW MART", "entirely unknown", "", None, "ab", "virat agr", "x" * 3000]
+    names = spark.createDataFrame([(k,) for k in known], "name string")
+    got = matching.snapped(spark.createDataFrame(list(enumerate(heard)), "ask_id int, heard string"), names)
+    want = {i: h if h is None else matching.snap(h, [k for k in known if k]) for i, h in enumerate(heard)}
+    assert {r.ask_id: r.name for r in got.collect()} == want and want[0] == "Virat Agro" and want[3] == "cashew ma"
+    assert [r.name for r in matching.snapped(spark.createDataFrame([(1, "abc")], "ask_id int, heard string"), names.limit(0)).collect()] == ["abc"]
