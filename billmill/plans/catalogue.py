@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import printed as P
-from ..operators import accrual, documents, labels, layout, lifecycle, matching, reports, rules, sentences, spoken, tables
+from ..operators import accrual, blocks, documents, labels, layout, lifecycle, matching, reports, rules, sentences, spoken, tables
 from ..sources import bridge
 from ..streaming import jobs
 
@@ -375,6 +375,19 @@ register("snapped_names", "SELECT c_custkey AS ask_id, CASE WHEN c_custkey % 3 =
     lambda s, d: matching.snapped(Ledger(s, d).customer.selectExpr("c_custkey AS ask_id", "IF(c_custkey % 3 = 0, 'zzzz', concat(lower(left(c_mktsegment, length(c_mktsegment) - 1)), 'mart')) AS heard"), Ledger(s, d).customer.selectExpr("concat(c_mktsegment, ' Mart') AS name")).select("ask_id", "name"))
 
 
+def addressed_bills(s: SparkSession, d: str) -> DataFrame:
+    """Letterheads of nations over two parties side by side, a page a customer."""
+    word = lambda x0, x1, y, text: f"struct({x0}D AS x0, {x1}D AS x1, {y}D AS y, {text} AS text)"
+    words = [word(0, 40, 0, "'TAX'"), word(42, 80, 0, "'INVOICE'"), word(0, 60, 12, "concat('Mill', c_nationkey)"), word(250, 290, 12, "'Dated'"), word(0, 60, 24, "'APMC Yard'"), word(250, 290, 24, "'1-Jul-26'")]
+    words += [word(0, 20, 40, "'Bill'"), word(22, 30, 40, "'to'"), word(250, 270, 40, "'Shipped'"), word(272, 280, 40, "'to'"), word(0, 90, 52, "c_name"), word(250, 290, 52, "c_mktsegment"), word(0, 20, 64, "CAST(c_nationkey AS STRING)"), word(22, 60, 64, "'Park'"), word(250, 290, 64, "'Pune'")]
+    return tables.by_line(layout.lines(Ledger(s, d).customer.selectExpr("c_custkey AS doc", "1 AS page", f"inline(array({', '.join(words)}))")))
+
+
+register("party_blocks", """SELECT c_custkey AS doc, 'buyer' AS role, c_name AS name, NULL::VARCHAR AS gstin, c_nationkey || ' Park' AS lines FROM customer
+UNION ALL SELECT c_custkey, 'consignee', c_mktsegment, NULL, 'Pune' FROM customer""")(lambda s, d: blocks.parties(addressed_bills(s, d)).select("doc", "role", "name", "gstin", F.array_join("lines", "|").alias("lines")))
+register("letterheads", "SELECT c_custkey AS doc, 'Mill' || c_nationkey AS name, 'TAX INVOICE|APMC Yard' AS lines FROM customer")(lambda s, d: blocks.letterheads(addressed_bills(s, d)).select("doc", "name", F.array_join("lines", "|").alias("lines")))
+
+
 def ingest_stream(s: SparkSession, d: str) -> DataFrame:
     """Documents as arriving files, streamed into the shared folder; each content once."""
     root = f"{s.sparkContext.getConf().get('spark.checkpoint.dir') or tempfile.mkdtemp()}/ingest-{uuid.uuid4()}"
