@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..functions import printed as P
 from ..operators import accrual, blocks, documents, labels, layout, lifecycle, matching, reports, rules, sentences, spoken, tables
-from ..sources import bridge
+from ..sources import bridge, workbook
 from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +142,17 @@ TERMS = "SELECT trim(t) AS term FROM (SELECT unnest([p_name, p_brand, p_type]) A
 register("learned_terms", f"SELECT term, count(*) AS n FROM ({TERMS}) GROUP BY 1 ORDER BY n DESC, term LIMIT 40")(lambda s, d: reports.terms(Ledger(s, d).part, ["p_name", "p_brand", "p_type"]))
 register("known_values", f"SELECT DISTINCT term FROM ({TERMS})")(lambda s, d: reports.terms(Ledger(s, d).part, ["p_name", "p_brand", "p_type"], None))
 
+
+def export_workbook(s: SparkSession, d: str) -> DataFrame:
+    """Counted bills and their lines written into workbooks; the lines as they are read from there."""
+    v = Ledger(s, d)
+    bills = bridge.counted(v.invoices).selectExpr("id", "invoice_number", "invoice_date", "grand_total")
+    lines = v.lines.join(bills.select(F.col("id").alias("invoice_id")), "invoice_id", "left_semi").select("invoice_id", "line_no", "product_id", "quantity", "taxable_amount")
+    return workbook.rows(workbook.workbooks(bills, lines, "invoice_id"), "Line Items", "invoice_id string, line_no string, product_id string, quantity string, taxable_amount string")
+
+
+register("export_workbook", B + "SELECT invoice_id::VARCHAR AS invoice_id, line_no::VARCHAR AS line_no, product_id::VARCHAR AS product_id, quantity::VARCHAR AS quantity, taxable_amount::VARCHAR AS taxable_amount FROM lines WHERE invoice_id IN (SELECT id FROM counted)")(export_workbook)
+
 # --- Checks ---------------------------------------------------------------------------------------------------------
 
 register("duplicates", B + "SELECT id, first_id FROM (SELECT id, row_number() OVER w AS n, first_value(id) OVER w AS first_id FROM invoices WHERE seller_id IS NOT NULL WINDOW w AS (PARTITION BY seller_id, invoice_number, financial_year ORDER BY id)) WHERE n > 1")(lambda s, d: rules.duplicates(Ledger(s, d).invoices))
