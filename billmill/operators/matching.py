@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.cleaning import name_key
+from ..functions.cleaning import name_key, name_light
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -69,20 +70,42 @@ def exact_tiers(asked: DataFrame, parties: DataFrame, aliases: DataFrame) -> Dat
 def fuzzy(asked: DataFrame, known: DataFrame, least: float = 88.0) -> DataFrame:
     """(ask_id, party_id, score): the closest known name of least or more, ties to the smaller id.
 
-    Both sides are (id, name, block); names meet by block and by a word they share, so pairs follow the words that
-    are rare within a block, and scoring runs on Arrow batches.
+    Both sides are (id, name, block). A name meets the names of its block and those without one; without a block it
+    meets all. Each spelling of a block is scored once, against the spellings that share a word of the key with it, or
+    are of a length, without blanks or as a set of words, that allows least: no other can reach it. Lengths meet by
+    bands, as in snapped(); what has no key (only a legal form, or nothing) matches nothing.
     """
-    word = lambda df, i: df.select(F.col(i), "name", "block", name_key(F.col("name")).alias("key"))
-    a, k = word(asked, "ask_id"), word(known, "party_id")
-    tokens = lambda df: df.withColumn("w", F.explode(F.array_distinct(F.split("key", " ")))).where("w <> ''")
-    pairs = tokens(a).join(tokens(k).select("party_id", F.col("name").alias("other"), "block", F.col("key").alias("other_key"), "w"), ["block", "w"]).select("ask_id", "name", "key", "party_id", "other", "other_key").distinct()
+    shortest = least / (200 - least)
+    band, reach = lambda n: F.floor(F.log(n) / math.log(1.25)), math.ceil(-math.log(shortest) / math.log(1.25))
+
+    def spellings(df: DataFrame) -> DataFrame:
+        keyed = df.withColumns({"key": name_key(F.col("name")), "light": name_light(F.col("name"))}).where("key <> ''")
+        return keyed.withColumns({"words": F.array_distinct(F.filter(F.split("key", " "), lambda w: w != "")), "tight": F.length(F.regexp_replace("key", " ", ""))}).withColumn("set", F.length(F.array_join("words", " ")))
+
+    def meets(df: DataFrame, where: Column, spread: int) -> DataFrame:
+        near = lambda kind, n: F.transform(F.sequence(band(F.col(n)) - spread, band(F.col(n)) + spread), lambda x: F.concat(F.lit(kind), x.cast("string")))
+        by = F.concat(F.transform("words", lambda w: F.concat(F.lit("w"), w)), near("t", "tight"), near("s", "set"))
+        return df.withColumn("where", F.explode(where)).withColumn("by", F.explode(by))
+
+    # Blocks meet in one place each: equal ones, a known name without one, an asked name without one.
+    own, free, every = F.struct(F.lit(0).alias("k"), F.col("block").alias("b")), *(F.struct(F.lit(k).alias("k"), F.lit(None).cast(asked.schema["block"].dataType).alias("b")) for k in (1, 2))
+    null_safe = lambda c: F.struct(c["k"].alias("k"), c["b"].isNull().alias("n"), F.coalesce(c["b"].cast("string"), F.lit("")).alias("b"))
+    at = lambda none, some: F.transform(F.when(F.col("block").isNull(), F.array(*none)).otherwise(F.array(*some)), null_safe)
+    a = meets(spellings(asked.select("name", "block").distinct()), at([every], [own, free]), reach)
+    k = meets(spellings(known.groupBy("name", "block").agg(F.min("party_id").alias("party_id"))), at([free, every], [own, every]), 0)
+    k = k.select("where", "by", "party_id", F.col("light").alias("other_light"), F.col("key").alias("other_key"), F.col("tight").alias("other_tight"), F.col("set").alias("other_set"))
+    fits = lambda n, o: F.least(n, o) >= shortest * F.greatest(n, o) - 1e-9
+    pairs = a.join(k, ["where", "by"]).where(F.col("by").startswith("w") | fits(F.col("tight"), F.col("other_tight")) | fits(F.col("set"), F.col("other_set")))
+    pairs = pairs.select("name", "block", "key", "light", "party_id", "other_key", "other_light").distinct()
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = lru_cache(1 << 16)(closeness)
         for b in batches:
-            yield pd.DataFrame({"ask_id": b["ask_id"], "party_id": b["party_id"], "score": [closeness((x, n.lower()), (y, o.lower())) for x, n, y, o in zip(b["key"], b["name"], b["other_key"], b["other"], strict=True)]})
+            yield b[["name", "block", "party_id"]].assign(score=[score((x, n), (y, o)) for x, n, y, o in zip(b["key"], b["light"], b["other_key"], b["other_light"], strict=True)])
 
-    hits = pairs.mapInPandas(scored, "ask_id long, party_id long, score double").where(F.col("score") >= least)
-    return hits.groupBy("ask_id").agg(F.max_by("party_id", F.struct("score", -F.col("party_id"))).alias("party_id"), F.max("score").alias("score"))
+    hits = pairs.mapInPandas(scored, f"name string, block {asked.schema['block'].dataType.simpleString()}, party_id long, score double").where(F.col("score") >= least)
+    best = hits.groupBy(F.col("name").alias("_name"), F.col("block").alias("_block")).agg(F.max_by("party_id", F.struct("score", -F.col("party_id"))).alias("party_id"), F.max("score").alias("score"))
+    return asked.join(best, (F.col("name") == F.col("_name")) & F.col("block").eqNullSafe(F.col("_block"))).groupBy("ask_id").agg(F.max_by("party_id", F.struct("score", -F.col("party_id"))).alias("party_id"), F.max("score").alias("score"))
 
 
 def snap(heard: str, known: list[str], least: float = 65.0, margin: float = 6.0) -> str:

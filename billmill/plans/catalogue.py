@@ -271,7 +271,7 @@ register("qr_consistency", "SELECT p_partkey AS id, p_partkey % 3 <> 0 AS consis
 register("merge_parties", B + "SELECT id, CASE WHEN seller_id = 2 THEN 1 ELSE seller_id END AS seller_id, CASE WHEN broker_id = 2 THEN 1 ELSE broker_id END AS broker_id FROM invoices")(lambda s, d: matching.merged(Ledger(s, d).invoices, 1, 2, ["seller_id", "broker_id"]).select("id", "seller_id", "broker_id"))
 register("resolve_exact_tiers", B + "SELECT c_custkey AS ask_id, CASE WHEN c_custkey % 3 = 2 THEN NULL WHEN c_custkey % 3 = 0 THEN 1000001 ELSE 1000000 + c_custkey END AS party_id, CASE c_custkey % 3 WHEN 0 THEN 'by_gstin' WHEN 1 THEN 'by_name' END AS tier FROM customer")(
     lambda s, d: matching.exact_tiers(Ledger(s, d).customer.selectExpr("c_custkey AS ask_id", "IF(c_custkey % 3 = 2, 'nobody', concat(c_name, ' Pvt Ltd')) AS name", "IF(c_custkey % 3 = 0, 'G1000001', NULL) AS gstin", "'00' AS state_code"), Ledger(s, d).parties.where("role = 'buyer'").withColumn("gstin", F.concat(F.lit("G"), F.col("party_id"))), s.createDataFrame([], "alias string, party_id long")))
-register("resolve_fuzzy", None)(lambda s, d: matching.fuzzy(Ledger(s, d).part.selectExpr("p_partkey AS ask_id", "concat(p_name, ' s') AS name", "p_brand AS block").where("ask_id % 2 = 0"), Ledger(s, d).part.selectExpr("p_partkey AS party_id", "p_name AS name", "p_brand AS block")))
+register("resolve_fuzzy", None)(lambda s, d: matching.fuzzy(Ledger(s, d).part.selectExpr("p_partkey AS ask_id", "concat(p_name, ' s') AS name", "p_brand AS block"), Ledger(s, d).part.selectExpr("p_partkey AS party_id", "p_name AS name", "p_brand AS block")))
 register("job_requeue", "SELECT event_id AS id, CASE WHEN ts < TIMESTAMP '2024-01-15' - INTERVAL 30 MINUTE THEN 'queued' ELSE 'running' END AS status FROM events WHERE event_type = 'error' OR user_id % 4 = 0")(
     lambda s, d: jobs.requeued(Ledger(s, d).events.where("event_type = 'error' OR user_id % 4 = 0").select(F.col("event_id").alias("id"), F.lit("running").alias("status"), F.col("ts").alias("started_at")), "2024-01-15").select("id", "status"))
 

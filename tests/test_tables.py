@@ -116,3 +116,22 @@ def test_snapping(spark):
     want = {i: h if h is None else matching.snap(h, [k for k in known if k]) for i, h in enumerate(heard)}
     assert {r.ask_id: r.name for r in got.collect()} == want and want[0] == "Virat Agro" and want[3] == "cashew ma"
     assert [r.name for r in matching.snapped(spark.createDataFrame([(1, "abc")], "ask_id int, heard string"), names.limit(0)).collect()] == ["abc"]
+
+
+def test_fuzzy_loses_no_pair(spark):
+    from billmill.functions.cleaning import name_key, name_light
+    from billmill.plans.catalogue import QUERIES
+
+    known = [(1, "lcdfe46", "27"), (2, "Riverstone Impex", "27"), (3, "Nilesh Ganpule", None), (4, "sunrise dryfruits", "24"), (5, "Shan Trading Co", "24"), (6, "sunrise dryfruits", "27"), (7, None, "27"), (8, "Pvt Ltd", "27"), (9, "gamma beta alphas", "24"), (10, "lcdfe46", "27")]
+    asked = [(1, "lcdf e 46", "27"), (2, "riverstne", "27"), (3, "Nilesh Ganpule", "24"), (4, "sunrize dryfruit", "24"), (5, "sunrize dryfruit", None), (6, "Nilesh Ganpuley", None), (7, None, "27"), (8, "Pvt Ltd", "27"), (9, "alpha gamme bet", "24"), (10, "lcdf e 46", "24"), (1, "lcdf e 46", "27")]
+    a, k = spark.createDataFrame(asked, "ask_id long, name string, block string"), spark.createDataFrame(known, "party_id long, name string, block string")
+    keyed = lambda df: [(*r,) for r in df.withColumns({"key": name_key("name"), "light": name_light("name")}).collect()]
+    want = set()
+    for i, _, b, key, light in keyed(a):
+        found = [(-matching.closeness((key, light), (y, o)), p) for p, _, c, y, o in keyed(k) if key and y and (b is None or c is None or b == c)]
+        if found and min(found)[0] <= -88:
+            want.add((i, min(found)[1], -min(found)[0]))
+    got = sorted(map(tuple, matching.fuzzy(a, k).collect()))
+    assert got == sorted(want) and got[0] == (1, 1, 100.0) and {i for i, _, _ in got} >= {1, 3, 4, 5, 6}
+    sf = "/root/testdata/sf0.001"
+    assert QUERIES["resolve_fuzzy"](spark, sf).select("ask_id").distinct().count() == spark.read.parquet(f"{sf}/part.parquet").count()
