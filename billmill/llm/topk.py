@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import groupby
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -16,8 +18,10 @@ from .vectors import finite, gram, matrix, width_of
 K, SCALE = 5, 256
 #: Vectors of a packed block, and candidate blocks that one task streams.
 BLOCK, STRIPE = 2048, 24
-#: Components over this can't be scored exactly in a double; their vectors take no part.
+#: Vectors with a component over this are scored in Python's integers (the bound is lower if they are over 512 wide).
 LARGEST = float(1 << 22)
+#: What a long holds.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Share of the rotated coordinates that the first partial sum has.
 HEAD = 0.25
 
@@ -57,8 +61,9 @@ def search(q: np.ndarray, q_row: np.ndarray, blocks: Iterator[tuple[np.ndarray,
     turned = q @ turn
     q_head, q_rest, q_norm = turned[:, :head], np.linalg.norm(turned[:, head:], axis=1), np.linalg.norm(q, axis=1)
     for c, key, row in blocks:
-        slack, least = 1e-6, best.threshold()
-        open_ = np.flatnonzero(q_norm * (np.linalg.norm(c[0]) + slack) + slack >= least)  # the block's longest comes first
+        longest, least = np.linalg.norm(c[0]), best.threshold()  # the block's longest comes first
+        slack = 1e-6 + longest * q.shape[1] * 2.0**-50
+        open_ = np.flatnonzero(q_norm * (longest + slack) + slack >= least)
         if not len(open_):
             if np.isfinite(least).all():
                 break  # every vector to come is shorter still
@@ -82,73 +87,143 @@ def search(q: np.ndarray, q_row: np.ndarray, blocks: Iterator[tuple[np.ndarray,
     return best
 
 
+def sortable(score: int) -> bytes:
+    """Bytes in the order of the integers: how many there are, then the digits."""
+    n = abs(score).bit_length() // 8 + 1
+    return (32768 + n).to_bytes(2) + score.to_bytes(n) if score >= 0 else (32768 - n).to_bytes(2) + (score + (1 << 8 * n)).to_bytes(n)
+
+
+def scaled(score: int, power: int) -> float:
+    """score / 2 ** power, or a little less; infinite if no double has it."""
+    cut_off = max(0, abs(score).bit_length() - 50)
+    try:
+        return math.ldexp(float(score >> cut_off), cut_off - power)
+    except OverflowError:
+        return math.inf if score > 0 else -math.inf
+
+
+def search_large(q: np.ndarray, q_row: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> list[list[tuple[int, int, int]]]:
+    """The best k (minus score, key, row) for each query, whatever the integers' size: doubles on a scale of their own
+    rule out what is below the k-th best by more than their error, and Python's integers score the rest."""
+    if not np.isfinite(q).all():
+        raise OverflowError("a component times scale is no double")
+    best: list[list[tuple[int, int, int]]] = [[] for _ in q]
+    q_ints, q_power = [[int(x) for x in v] for v in q], np.frexp(np.abs(q).max(axis=1))[1]
+    q_near = np.ldexp(q, -q_power[:, None])
+    q_wide = np.linalg.norm(q_near, axis=1) * (q.shape[1] + 8) * 2.0**-50
+    for c, key, row in blocks:
+        if not np.isfinite(c).all():
+            raise OverflowError("a component times scale is no double")
+        # Of equal vectors, the first k but for the query itself are enough.
+        same = np.unique(c, axis=0, return_inverse=True)[1].ravel()
+        order = np.lexsort((row, key, same))
+        first = np.flatnonzero(np.diff(same[order], prepend=-1))
+        order = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) <= k]
+        c, key, row = c[order], key[order], row[order]
+        c_power = int(np.frexp(np.abs(c).max())[1])
+        c_near, c_ints = np.ldexp(c, -c_power), {}
+        c_norm = np.linalg.norm(c_near, axis=1)
+        for at in range(0, len(q), 256):
+            part = slice(at, at + 256)
+            near, wide = q_near[part] @ c_near.T, q_wide[part][:, None] * c_norm[None, :] + 1e-290
+            other = q_row[part][:, None] != row[None, :]
+            least = np.array([scaled(-b[-1][0], int(e) + c_power) if len(b) == k else -np.inf for b, e in zip(best[part], q_power[part], strict=True)])
+            low = np.where(other, near - wide, -np.inf)
+            if low.shape[1] >= k:
+                least = np.maximum(least, np.partition(low, -k, axis=1)[:, -k])
+            for i, j in zip(*np.nonzero((near + wide >= least[:, None]) & other), strict=True):
+                if j not in c_ints:
+                    c_ints[j] = [int(x) for x in c[j]]
+                best[at + i].append((-sum(map(mul, q_ints[at + i], c_ints[j])), int(key[j]), int(row[j])))
+            for i in range(at, min(at + 256, len(q))):
+                best[i] = sorted(best[i])[:k]
+    return best
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, every: int = 50, seed: int = 42) -> DataFrame:
     """query_id, rank, the id and score of the k best other rows for each row of vectors whose id every divides.
 
     A component counts as floor(scale * x). queries is vectors or a part of it; its rows are known by id, so every
     row of vectors with such an id is a query. Ties go to the smaller id (null last), then to the earlier row. Vectors
-    null, with null or non-finite components or with one beyond LARGEST take no part; shorter vectors are filled up
-    with zeros; rows repeated under one id are each other's candidates; an empty table gives no rows; other columns
+    null or with null or non-finite components take no part; shorter vectors are filled up
+    with zeros; those with a component beyond LARGEST are ranked exactly too, and a score that no long holds is null; rows repeated under one id are each other's candidates; an empty table gives no rows; other columns
     are ignored. Components are sorted by length once, packed, and each block of queries meets them in that order in
     STRIPE-block shares; only what enters a share's k best leaves its task.
     """
     prepared(vectors.sparkSession)
-    ints = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
-    rows = vectors.where(finite(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), ints.alias("v"))
-    rows = cut(rows.where(~F.exists("v", lambda x: F.abs(x) > LARGEST)).withColumn("row", F.monotonically_increasing_id()))
-    width = max(1, width_of(rows, "v"))
+    whole = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
+    ints = F.transform(F.col(vector_col).cast("array<double>"), lambda x: whole(x * scale))
+    all_rows = cut(vectors.where(finite(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), ints.alias("v")).withColumn("row", F.monotonically_increasing_id()))
+    width = max(1, width_of(all_rows, "v"))
+    is_large = F.exists("v", lambda x: F.abs(x) > min(LARGEST, math.isqrt((1 << 53) // width)))
+    rows, large = all_rows.where(~is_large), all_rows.where(is_large)
     turn = rotation(gram(rows, "v", width))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n = rows.count()
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
-    asked = asked.join(queries.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi") if queries is not vectors else asked
-
-    def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            held.append(batch)
-            while sum(map(len, held)) >= BLOCK:
-                all_ = pd.concat(held)
-                yield packed(all_[:BLOCK])
-                held = [all_[BLOCK:]]
-        if sum(map(len, held)):
-            yield packed(pd.concat(held))
-
-    def packed(part: pd.DataFrame) -> pd.DataFrame:
+    ids = queries.select(F.col(id_col).cast("long").alias("id")).distinct()
+    asking = lambda df: df.where(F.pmod("id", F.lit(every)) == 0) if queries is vectors else df.where(F.pmod("id", F.lit(every)) == 0).join(ids, "id", "left_semi")
+
+    layout, result = "longest double, vectors binary, ids binary, rows binary", "query_id long, query_row long, key long, row long, score long, wide binary"
+
+    def packed(part: pd.DataFrame, kind: type) -> pd.DataFrame:
         ids = part["id"].astype("Int64").fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
-        return pd.DataFrame({"longest": [part["norm"].max()], "vectors": [matrix(part["v"], width, np.int32).tobytes()], "ids": [ids.tobytes()], "rows": [part["row"].to_numpy(np.int64).tobytes()]})
-
-    layout = "longest double, vectors binary, ids binary, rows binary"
-    shares = max(1, -(-n // (BLOCK * 4)))
-    ordered = rows.withColumn("norm", norm).repartitionByRange(shares, F.desc("norm"), "row").sortWithinPartitions(F.desc("norm"), "row")
-    candidates = cut(ordered.mapInPandas(blocked, layout).withColumn("block", F.monotonically_increasing_id()))
-    asked = asked.withColumn("norm", F.lit(0.0))
-    asked = cut(asked.repartition(max(1, n // every // BLOCK), "row").mapInPandas(blocked, layout).select("vectors", "ids", "rows", F.monotonically_increasing_id().alias("asked")))
-    # Blocks against blocks: one row a block and side. A share has every stripes-th block, longest first.
-    stripes = max(1, min(partitions(rows), -(-candidates.count() // STRIPE)), -(-candidates.count() // STRIPE))
-    dealt = candidates.withColumn("stripe", F.pmod(F.xxhash64("block", F.lit(seed)), F.lit(stripes)))
-    numbers = [r["asked"] for r in asked.select("asked").collect()]  # one a block of queries
-    left = asked.select("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("stripe"), F.lit(float("inf")).alias("longest"), "vectors", "ids", "rows")
-    right = dealt.select(F.explode(F.lit(numbers).cast("array<long>")).alias("asked"), "stripe", "longest", "vectors", "ids", "rows")
-    tasks = left.unionByName(right).repartition(partitions(rows), "asked", "stripe").sortWithinPartitions("asked", "stripe", F.desc("longest"))
-
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def parts():
+        return pd.DataFrame({"longest": [part["norm"].max()], "vectors": [matrix(part["v"], width, kind).tobytes()], "ids": [ids.tobytes()], "rows": [part["row"].to_numpy(np.int64).tobytes()]})
+
+    def near(q: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, blocks: Iterator) -> pd.DataFrame:
+        best = search(q, q_rows, blocks, turn, k)
+        i, j = np.nonzero(best.row >= 0)
+        return pd.DataFrame({"query_id": q_ids[i], "query_row": q_rows[i], "key": best.key[i, j], "row": best.row[i, j], "score": best.score[i, j], "wide": None})
+
+    def far(q: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, blocks: Iterator) -> pd.DataFrame:
+        best = search_large(q, q_rows, blocks, k)
+        out = [(q_ids[i], q_rows[i], key, row, min(max(-s, LEAST), MOST), None if LEAST < -s < MOST else sortable(-s)) for i, b in enumerate(best) for s, key, row in b]
+        return pd.DataFrame(out, columns=["query_id", "query_row", "key", "row", "score", "wide"])
+
+    def meeting(asked: DataFrame, known: DataFrame, kind: type, find: Callable[..., pd.DataFrame]) -> DataFrame:
+        """What find makes of the blocks of asked and those of known: one row a block and side. A share has every stripes-th block, longest first."""
+
+        def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
             for batch in batches:
-                for r in batch.itertuples(index=False):
-                    v = np.frombuffer(r.vectors, np.int32).reshape(-1, width).astype(np.float64)
-                    yield (r.asked, r.stripe), np.isinf(r.longest), v, np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows, np.int64)
-
-        for _, part in groupby(parts(), key=lambda p: p[0]):
-            _, is_query, q, q_ids, q_rows = next(part)
-            if not is_query:
-                continue
-            best = search(q, q_rows, (p[2:] for p in part), turn, k)
-            i, j = np.nonzero(best.row >= 0)
-            yield pd.DataFrame({"query_id": q_ids[i], "query_row": q_rows[i], "key": best.key[i, j], "row": best.row[i, j], "score": best.score[i, j]})
-
-    found = tasks.mapInPandas(met, "query_id long, query_row long, key long, row long, score long")
-    order = (F.desc("score"), F.asc("key"), F.asc("row"))
+                held.append(batch)
+                while sum(map(len, held)) >= BLOCK:
+                    all_ = pd.concat(held)
+                    yield packed(all_[:BLOCK], kind)
+                    held = [all_[BLOCK:]]
+            if sum(map(len, held)):
+                yield packed(pd.concat(held), kind)
+
+        n = known.count()
+        shares = max(1, -(-n // (BLOCK * 4)))
+        ordered = known.withColumn("norm", norm).repartitionByRange(shares, F.desc("norm"), "row").sortWithinPartitions(F.desc("norm"), "row")
+        candidates = cut(ordered.mapInPandas(blocked, layout).withColumn("block", F.monotonically_increasing_id()))
+        asked = asked.withColumn("norm", F.lit(0.0)).repartition(max(1, n // every // BLOCK), "row")
+        asked = cut(asked.mapInPandas(blocked, layout).select("vectors", "ids", "rows", F.monotonically_increasing_id().alias("asked")))
+        stripes = max(1, -(-candidates.count() // STRIPE))
+        dealt = candidates.withColumn("stripe", F.pmod(F.xxhash64("block", F.lit(seed)), F.lit(stripes)))
+        numbers = [r["asked"] for r in asked.select("asked").collect()]  # one a block of queries
+        left = asked.select("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("stripe"), F.lit(True).alias("is_query"), F.lit(0.0).alias("longest"), "vectors", "ids", "rows")
+        right = dealt.select(F.explode(F.lit(numbers).cast("array<long>")).alias("asked"), "stripe", F.lit(False).alias("is_query"), "longest", "vectors", "ids", "rows")
+        tasks = left.unionByName(right).repartition(partitions(known), "asked", "stripe").sortWithinPartitions("asked", "stripe", F.desc("is_query"), F.desc("longest"))
+
+        def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def parts():
+                for batch in batches:
+                    for r in batch.itertuples(index=False):
+                        v = np.frombuffer(r.vectors, kind).reshape(-1, width).astype(np.float64)
+                        yield (r.asked, r.stripe), r.is_query, v, np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows, np.int64)
+
+            for _, part in groupby(parts(), key=lambda p: p[0]):
+                _, is_query, *query = next(part)
+                if is_query:
+                    yield find(*query, (p[2:] for p in part))
+
+        return tasks.mapInPandas(met, result)
+
+    found = meeting(asking(rows), rows, np.int32, near)
+    if not large.isEmpty():
+        found = found.unionByName(meeting(asking(all_rows), large, np.float64, far)).unionByName(meeting(asking(large), rows, np.float64, far))
+    order = (F.desc("score"), F.desc_nulls_last("wide"), F.asc("key"), F.asc("row"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(*order))).where(F.col("rank") <= k)
     id_ = F.when(F.col("key") < F.lit(int(np.iinfo(np.int64).max)), F.col("key"))
-    return ranked.select("query_id", "rank", id_.alias(id_col), "score")
+    held = F.when(F.col("wide").isNull() | F.col("wide").isin(bytearray(sortable(LEAST)), bytearray(sortable(MOST))), F.col("score"))
+    return ranked.select("query_id", "rank", id_.alias(id_col), held.alias("score"))

@@ -149,6 +149,23 @@ def test_top_k(spark):
     assert {r.rank for r in topk.top_k(df.where("vec_id in (0, 1, 2)"), df.where("vec_id in (0, 1, 2)")).collect()} == {1, 2}
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(6) * 10.0 ** rng.choice([0, 3, 5, 9, 20, 38], p=[0.5, 0.1, 0.1, 0.1, 0.1, 0.1])]) for i in range(150)]
+    rows += [*[(i, [20000.0, 0.5] + [0.0] * 4) for i in (1000, 1001)], (None, [1e9] * 6), (1050, [-3e38] * 6), *[(i, [16384.01] * 6) for i in range(1051, 1090)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    v = [[math.floor(256 * float(np.float32(x))) for x in r] for _, r in rows]
+    want = Counter()
+    for n, (i, _) in enumerate(rows):
+        if i is not None and i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v[n], w, strict=True)), math.inf if j is None else j) for m, ((j, _), w) in enumerate(zip(rows, v, strict=True)) if m != n)[:5]
+            want.update((i, r, None if j == math.inf else j, -s if -(1 << 63) <= -s < 1 << 63 else None) for r, (s, j) in enumerate(best, 1))
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df).collect()) == want
+    sizes = [0, 1, -1, 255, -255, 256, -256, 2**63, -(2**63), 2**200, -(2**200)]
+    assert sorted(sizes) == sorted(sizes, key=topk.sortable)
+
+
 def test_suffixes(spark):
     rows = odd_rows()
     raws = [(t or "").encode() for _, t in rows]
