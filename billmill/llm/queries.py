@@ -43,7 +43,7 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan(table(spark, sf_dir, "documents"))
+    out = secrets.scan(table(spark, sf_dir, "documents"), short=True)
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_entropy")
 
 

@@ -20,7 +20,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 #: Strings that entropy is measured in: unbroken runs of base64 and URL-safe letters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Class, its letters, window length and least bits a letter; the first class that has all letters of a string counts.
-CLASSES = (("digits", re.compile(r"[0-9]+"), 20, 9.9), ("hex", re.compile(r"[0-9a-fA-F]+"), 32, 3.3), ("alnum", re.compile(r"[A-Za-z0-9]+"), 24, 4.1), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 4.1))
+CLASSES = (("digits", re.compile(r"[0-9]+"), 20, 2.6), ("hex", re.compile(r"[0-9a-fA-F]+"), 32, 3.3), ("alnum", re.compile(r"[A-Za-z0-9]+"), 24, 4.1), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 24, 4.1))
 #: Benign strings: identifiers in UUID form, runs of letters without a digit (words), paths and hyphenated words.
 ALLOWED = re.compile(r"(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})|[A-Za-z=]+|[A-Za-z]*(?:[-_/][A-Za-z]*)*[0-9]{0,4}=*")
 
@@ -51,15 +51,18 @@ def hot_windows(text: str, width: int, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Hot windows of the candidate strings that no allow-list rule covers."""
+def entropy_spans(text: str, short: bool = False) -> list[tuple[int, int]]:
+    """Hot windows of the candidate strings that no allow-list rule covers. With short, a string shorter than its
+    class's window is one window, and the least bits fall with the logarithm of its length."""
     out = []
     for m in CANDIDATE.finditer(text):
         word = m[0]
         if ALLOWED.fullmatch(word):
             continue
         _, _, width, least = next(c for c in CLASSES if c[1].fullmatch(word))
-        if least <= math.log2(width) and len(set(word)) >= 2**least:
+        if short and len(word) < width:
+            width, least = len(word), least * math.log2(len(word)) / math.log2(width)
+        if len(set(word)) >= 2**least - 1e-9:
             out += [(m.start() + a, m.start() + b) for a, b in hot_windows(word, width, least)]
     return out
 
@@ -85,11 +88,11 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
     return "".join([*out, text[done:]])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str | None = None, short: bool = False) -> DataFrame:
     """One row a document: the id, n_assign, n_access, n_hex, n_entropy, base_spans, spans, and with a mask also clean.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, joined by commas; base_spans has
-    those of the fixed patterns. clean is the text with what the spans cover masked (null stays null). A null text is
+    those of the fixed patterns; short is that of entropy_spans(). clean is the text with what the spans cover masked (null stays null). A null text is
     scanned as empty; repeated rows come back repeated; an empty table gives no rows; other columns are ignored.
     """
     prepared(docs.sparkSession)
@@ -99,7 +102,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
             rows = []
             for text in batch["text"]:
                 base = base_spans(text or "")
-                all_ = sorted(base + [(a, 3, b) for a, b in entropy_spans(text or "")])
+                all_ = sorted(base + [(a, 3, b) for a, b in entropy_spans(text or "", short)])
                 n = [sum(k == kind for _, k, _ in all_) for kind in range(4)]
                 rows.append((*n, spelled(base), spelled(all_), *([text and redacted(text, all_, mask)] if mask is not None else [])))
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_entropy", "base_spans", "spans", *["clean"] * (mask is not None)], index=batch.index)
@@ -110,14 +113,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(scanned, columns).withColumnRenamed("id", id_col)
 
 
-def without_secrets(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text") -> DataFrame:
+def without_secrets(docs: DataFrame, mask: str = "[SECRET]", text_col: str = "text", short: bool = False) -> DataFrame:
     """docs with secrets in the text masked; every row and every other column stays."""
     prepared(docs.sparkSession)
     names = docs.columns
 
     def masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t and redacted(t, sorted(base_spans(t) + [(a, 3, b) for a, b in entropy_spans(t)]), mask) for t in batch["text"]]
+            texts = [t and redacted(t, sorted(base_spans(t) + [(a, 3, b) for a, b in entropy_spans(t, short)]), mask) for t in batch["text"]]
             yield pd.DataFrame({"row": batch["row"], "text": texts})
 
     if names == [text_col]:

@@ -241,6 +241,22 @@ def test_secrets(spark):
     assert secrets.scan(documents(spark, [])).count() == 0
 
 
+def test_short_secrets(spark, tmp_path):
+    import corpus_pipeline
+    from billmill.llm import queries
+
+    key = "q7Zp3LmX9vTr2KdB8sWn4HfJ6yCg1RtE"
+    found = [key[:20], key[:23], "9F86D081884C7D659A2F", "9f86D081884c7D659a2FEAa0C55AD0", "83014927561938475620", "83014927561938475620471"]
+    plain = ["1" * 23, "abababababababab1212", "A" * 10 + "0" * 15, "some-hyphenated-words-2024", "123e4567-e89b-12d3-a456-426614174000", key[:19]]
+    documents(spark, [(i, f"see {w} here") for i, w in enumerate(found + plain)]).write.parquet(f"{tmp_path}/documents.parquet")
+    by = {r.doc_id: r for r in queries.op6_secrets(spark, str(tmp_path)).collect()}
+    assert [by[i].spans for i in range(len(found))] == [f"entropy:4:{4 + len(w)}" for w in found]
+    assert not any(by[i].n_entropy for i in range(len(found), len(by)))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    masked = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, str(tmp_path)).collect()}
+    assert masked == {i: "see [SECRET] here" if i < len(found) else f"see {w} here" for i, w in enumerate(found + plain)}
+
+
 def test_entropy_windows():
     rnd = random.Random(4)
     for _ in range(50):
