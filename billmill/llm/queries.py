@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import langid, mixing, packing, phrases, quotations, rabitq, secrets, simhash, suffixes, topk
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def op1_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), added=packing.added_tokens(public_tokenizers.path(VOCABULARY)))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from billmill.llm.common import prepared
 ORACLE_SQL = None
 #: A document of no known language, or of one that gets a smaller share than this of the classes' odds, goes.
 LEAST_SCORE = 0.3
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, VOCABULARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences: which part of which document is where."""
-    return packing.pack(docs, public_tokenizers.path(RANKS))
+    return packing.pack(docs, public_tokenizers.path(RANKS), added=packing.added_tokens(public_tokenizers.path(VOCABULARY)))
 
 
 STAGES = [("language", language), ("near duplicates", near_duplicates), ("secrets", secret_scan), ("mixing", mixed), ("packing", packed)]

@@ -70,6 +70,24 @@ def test_packing(spark):
     assert packing.pack(documents(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_packing_knows_added_tokens(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from billmill.llm import queries
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [*enumerate(["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext| > <|ENDOFTEXT|>", *texts()])]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for i, text in rows:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        want.update((i, at, zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes()), len(ids)) for at in range(0, len(ids), 2048))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for got in (queries.op2_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        assert Counter((r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in got.collect()) == want
+
+
 def test_first_fit_decreasing():
     rnd = random.Random(1)
     for n in (1, 2, 3, 50, 300):
