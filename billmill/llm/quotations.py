@@ -41,11 +41,54 @@ def passages(lines: DataFrame) -> DataFrame:
     return marked.groupBy("mid", "conv", "turn", "run", "level").agg(body.alias("body"))
 
 
-def originals(messages: DataFrame) -> DataFrame:
-    """(conv, turn, h) of what a message says itself: its whole text, its paragraphs and its lines."""
-    parts = F.array_distinct(F.concat(F.array("clean"), F.split("clean", r"\n[ \t]*\n"), F.split("clean", r"\r?\n")))
-    said = messages.where(F.col("clean").isNotNull()).select("conv", "turn", F.explode(F.transform(parts, normalised)).alias("part"))
-    return said.where(F.length("part") > 0).select("conv", "turn", F.md5("part").alias("h"))
+def parts_of(text: Column) -> Column:
+    """The normalised text, its paragraphs and its lines, none of them empty."""
+    parts = F.transform(F.concat(F.array(text), paragraphs(text), F.split(text, "\r?\n")), normalised)
+    return F.filter(parts, lambda x: F.length(x) > 0)
+
+
+def paragraphs(text: Column) -> Column:
+    return F.split(text, r"\r?\n(?:[ \t]*\r?\n)+")
+
+
+def said_lines(text: Column) -> Column:
+    """The normalised lines that aren't blank."""
+    return F.filter(F.transform(F.split(text, "\r?\n"), normalised), lambda x: F.length(x) > 0)
+
+
+def originals(messages: DataFrame, runs: DataFrame) -> DataFrame:
+    """(conv, turn, h) of what a message says itself: its whole text, its runs between quotations, and the paragraphs and lines of both."""
+    said = messages.where(F.col("clean").isNotNull()).select("conv", "turn", F.explode(parts_of(F.col("clean"))).alias("part"))
+    said = said.unionByName(runs.where("level = 0").select("conv", "turn", F.explode(parts_of(F.col("body"))).alias("part")))
+    return said.select("conv", "turn", F.md5("part").alias("h")).distinct()
+
+
+def blocks(messages: DataFrame, lengths: list[int]) -> DataFrame:
+    """(conv, turn, h) of every block of as many successive lines as one of lengths says; blank lines don't count."""
+    lined = messages.where(F.col("clean").isNotNull()).select("conv", "turn", said_lines(F.col("clean")).alias("lines"))
+    sized = lined.withColumn("n", F.explode(F.lit(lengths).cast("array<int>"))).where(F.col("n") <= F.size("lines"))
+    at = sized.select("conv", "turn", "n", "lines", F.explode(F.sequence(F.lit(1), F.size("lines") - F.col("n") + 1)).alias("at"))
+    return at.select("conv", "turn", F.md5(F.array_join(F.slice("lines", F.col("at"), F.col("n")), " ")).alias("h"))
+
+
+def linked_by_parts(quotes: DataFrame, said: DataFrame) -> DataFrame:
+    """linked() for runs that no message says as a whole: by their paragraphs, and by the lines of paragraphs that
+    aren't found either. Each has to be said somewhere, but for what has neither letter nor digit (marks of what was
+    left out); the run is linked to the message that most of it, by length, is linked to, in its own conversation if
+    any is, and to the later one of equals."""
+    each = quotes.select("mid", "conv", "turn", "run", "level", F.posexplode(paragraphs(F.col("body"))).alias("par", "text"))
+    lines = each.select("*", F.posexplode(said_lines(F.col("text"))).alias("line", "part")).drop("text")
+    parts = each.select("mid", "conv", "turn", "run", "level", "par", F.lit(-1).alias("line"), normalised(F.col("text")).alias("part")).unionByName(lines)
+    parts = cut(parts.where(F.col("part").rlike(r"[\p{L}\p{N}]")).withColumn("h", F.md5("part")))
+    once = parts.select("mid", "conv", "turn", "run", "level", "h").distinct()
+    found = parts.join(linked(once, said).select("mid", "run", "h", "to_conv", "to_turn", "inside"), ["mid", "run", "h"])
+    by = Window.partitionBy("mid", "run", "par")
+    found = found.where((F.col("line") >= 0) | F.col("to_turn").isNotNull())
+    found = found.withColumn("whole", F.min("line").over(by) < 0).where(~F.col("whole") | (F.col("line") < 0))
+    ok = found.groupBy("mid", "run").agg(F.min(F.col("to_turn").isNotNull()).alias("ok")).where("ok").drop("ok")
+    votes = found.join(ok, ["mid", "run"], "left_semi").groupBy("mid", "conv", "turn", "run", "level", "to_conv", "to_turn", "inside").agg(F.sum(F.length("part")).alias("n"))
+    best = F.max_by(F.struct("to_conv", "to_turn", "inside"), F.struct("inside", "n", "to_turn", -F.col("to_conv"))).alias("best")
+    return votes.groupBy("mid", "conv", "turn", "run", "level").agg(best).select("mid", "conv", "turn", "run", "level", "best.*")
 
 
 def linked(quotes: DataFrame, said: DataFrame) -> DataFrame:
@@ -83,7 +126,8 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     """Messages without quotations, in reply order: conv, turn, role, text, reply_to, thread_root, reply_depth, n_quotes
     and links (level, conv, turn of each quoted passage's original, nulls where there is none).
 
-    A quoted passage is a run of lines of one level; it is linked by the hash of its normalised text. A message replies
+    A quoted passage is a run of lines of one level; it is linked by the hash of its normalised text, to a message, a
+    run, a paragraph, a line or any block of successive lines, or else as linked_by_parts() says. A message replies
     to the original of its first passage of the least level that has one earlier in the conversation; reply_depth is
     the number of replies from thread_root, and (conv, thread_root, turn) is the order of the rows: an original comes
     before what replies to it, and threads don't mix. A message that quotes nothing is kept as it is, and roots a
@@ -100,7 +144,19 @@ def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str
     rows = rows.join(own, "mid", "left").withColumn("clean", clean)
     quotes = runs.where("level > 0").withColumn("h", F.md5(normalised(F.col("body"))))
     known = quotes.where((F.length(F.trim("body")) > 0) & F.col("conv").isNotNull() & F.col("turn").isNotNull())
-    links = cut(linked(known, originals(rows.where("conv is not null and turn is not null"))))
+    rows, placed = cut(rows), "conv is not null and turn is not null"
+    said = cut(originals(rows.where(placed), runs.where(placed)))
+    links = cut(linked(known, said).drop("h"))
+    # What is left are blocks of lines out of longer texts, or parts with something between them left out.
+    left = cut(known.join(links.where("to_turn is not null"), ["mid", "run"], "left_anti"))
+    texts = F.concat(F.array("body"), paragraphs(F.col("body")))
+    lengths = [r["n"] for r in left.select(F.explode(F.transform(texts, lambda x: F.size(said_lines(x)))).alias("n")).where("n > 1").distinct().collect()]
+    if not left.isEmpty():
+        said = cut(said.unionByName(blocks(rows.where(placed), lengths)).distinct()) if lengths else said
+        again = cut(linked(left, said).drop("h"))
+        parted = cut(linked_by_parts(left.join(again.where("to_turn is not null"), ["mid", "run"], "left_anti"), said))
+        found = again.where("to_turn is not null").unionByName(parted)
+        links = cut(links.where("to_turn is not null").unionByName(found))
     up = links.where("inside").groupBy("mid", "conv", "turn").agg(F.min_by("to_turn", F.struct("level", "run")).alias("up"))
     roots = rooted(up.select("conv", "turn", "up"))
     each = quotes.join(links.select("mid", "run", "to_conv", "to_turn"), ["mid", "run"], "left").groupBy("mid").agg(F.array_sort(F.collect_list(F.struct("run", "level", "to_conv", "to_turn"))).alias("found"))

@@ -410,3 +410,25 @@ def test_quotation_chains(spark):
     rows = [(1, 0, "u", "line 0")] + [(1, i, "u", f"> line {i - 1}\nline {i}") for i in range(1, 40)]
     got = {r.turn: r for r in quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert all(r.thread_root == 0 and r.reply_depth == t for t, r in got.items())
+
+
+def test_trimmed_quotations(spark):
+    long = "First point of it.\nSecond point here.\nThird one, too.\n\nNext paragraph, wrapped\nover two lines.\n\nThe last words."
+    rows = [
+        (1, 0, long),
+        (1, 1, "> Second point here.\n> Third one, too.\nyes"),
+        (1, 2, "> Next paragraph, wrapped\n> over two lines.\n>\n> The last words.\nboth"),
+        (1, 3, "> Second point here.\n>\n> [...]\n>\n> The last\n> words.\nrewrapped"),
+        (1, 4, "> Second point here.\n> never said by anyone\nno"),
+        (2, 0, "start"),
+        (2, 1, "> start\nBetween one\nand two.\n> start\nAfter\nall."),
+        (2, 2, "> Between one\n> and two.\nseen"),
+        (2, 3, "> Between\n> one and two.\nseen again"),
+        (3, 0, "One para\r\nof two lines.\r\n\r\nAnother para."),
+        (3, 1, "> One para of\r\n> two lines.\r\nok"),
+        (4, 0, "> Second point here.\n> Third one, too.\nfrom elsewhere"),
+    ]
+    got = {(r.conv, r.turn): r for r in quotations.conversations(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: r.reply_to for k, r in got.items()} == {(1, 0): None, (1, 1): 0, (1, 2): 0, (1, 3): 0, (1, 4): None, (2, 0): None, (2, 1): 0, (2, 2): 1, (2, 3): 1, (3, 0): None, (3, 1): 0, (4, 0): None}
+    assert [(x.conv, x.turn) for x in got[4, 0].links] == [(1, 0)] and [(x.conv, x.turn) for x in got[1, 4].links] == [(None, None)]
+    assert got[2, 3].thread_root == 0 and got[2, 3].reply_depth == 2
