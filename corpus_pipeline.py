@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billmill.llm import langid, mixing, packing, secrets, simhash
-from billmill.llm.common import prepared
+from billmill.llm.common import cut, prepared
 
 #: SQL can't express the fingerprints, the classifier and the tokenizer; the tests compare the rows with brute force.
 ORACLE_SQL = None
@@ -26,10 +26,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least doc_id. Documents without an id can't be told apart; they stay."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = docs.where("doc_id is not null").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group, the one with the least doc_id (null last). Rows are told apart by number: an id can have several texts or be null."""
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = simhash.near_duplicates(numbered, id_col="_row").join(numbered.select("_row", "doc_id"), "_row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
+    return numbered.join(first, "_row", "left_semi").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,15 @@ def test_stages(spark):
     assert Counter(r.doc_id for r in got if r.start == 0) == Counter(r.doc_id for r in kept.collect())
 
 
+def test_near_duplicates_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (3, b), (5, b), (None, c), (None, c), (7, b), (None, a), (9, c + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(5, a), (3, b), (9, c + " end")])
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
