@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billmill.llm import langid, mixing, packing, secrets, simhash
-from billmill.llm.common import cut, prepared
+from billmill.llm import langid, minhash, mixing, packing, secrets, simhash
+from billmill.llm.common import components, cut, prepared
 
 #: SQL can't express the fingerprints, the classifier and the tokenizer; the tests compare the rows with brute force.
 ORACLE_SQL = None
@@ -26,10 +26,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group, the one with the least doc_id (null last). Rows are told apart by number: an id can have several texts or be null."""
+    """One row of each group, the one with the least doc_id (null last). Rows are told apart by number: an id can have
+    several texts or be null. Groups are what op3's fingerprints link, and what five-word shingles do at 0.8 or more."""
     numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    found = simhash.near_duplicates(numbered, id_col="_row").join(numbered.select("_row", "doc_id"), "_row")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
+    prints = simhash.near_duplicates(numbered, id_col="_row").select(F.col("_row").alias("u"), F.col("component_id").alias("v"))
+    group = components(prints.unionByName(minhash.links(numbered, "_row"))).withColumnRenamed("node", "_row")
+    found = numbered.select("_row", "doc_id").join(group, "_row", "left").withColumn("component", F.coalesce("component", "_row"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
     return numbered.join(first, "_row", "left_semi").select(docs.columns)
 
 

@@ -1,12 +1,13 @@
 """The pipeline's stages against what each has to do, and the registered queries' SQL on the smallest tables."""
 
+import random
 from collections import Counter
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from billmill.llm import queries
+from billmill.llm import queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,6 +39,30 @@ def test_near_duplicates_by_row(spark):
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(5, a), (3, b), (9, c + " end")])
 
 
+def test_near_duplicates_at_four_fifths(spark):
+    rnd = random.Random(7)
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    texts = []
+    for n in range(25):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(150)]
+        for changes in (0, 1, 2, 3, 6, 9):
+            near = list(base)
+            for at in rnd.sample(range(150), changes):
+                near[at] = f"new{n}"
+            texts.append(" ".join(near))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    root, prints = list(range(len(texts))), simhash.fingerprints(texts, simhash.SHINGLE, simhash.SEED)
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, a in enumerate(map(grams, texts)):
+        for j in range(i):
+            b = grams(texts[j])
+            if len(a & b) >= 0.8 * len(a | b) or int(prints[i] ^ prints[j]).bit_count() <= simhash.BUDGET:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
+    assert got == {find(i) for i in range(len(texts))} and len(got) < len(texts)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
