@@ -82,7 +82,9 @@ def links(docs: DataFrame, id_col: str, text_col: str = "text", size: int = SHIN
     first = made.groupBy("key").agg(F.min(F.struct("id", "bands")).alias("first"))
     copies = made.select("id", "key").join(first.select("key", F.col("first.id").alias("v")), "key").where("id <> v").select(F.col("id").alias("u"), "v")
     each = first.select("first.id", F.posexplode("first.bands").alias("t", "b"))
-    shared = each.groupBy("t", "b").agg(F.count("*").alias("n")).where("n > 1").select("t", "b")
+    # Bands often bring the same rows together; of such buckets one is enough.
+    shared = each.groupBy("t", "b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("n > 1")
+    shared = shared.groupBy("n", "who").agg(F.min(F.struct("t", "b")).alias("one")).select("one.*")
     candidates = cut(each.join(shared, ["t", "b"]))
     texts = rows.join(candidates.select("id").distinct(), "id", "left_semi")
     met = candidates.join(texts, "id").repartition(partitions(docs), "t", "b").sortWithinPartitions("t", "b", "id")
