@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,49 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where executors and driver can all write: spark.checkpoint.dir, or what stands in for it in tests."""
+    sc = prepared(spark).sparkContext
+    return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """df, written as Parquet to the shared folder and read from there: like cut(), but compressed, for what has texts."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def whole(batches: Iterator[pd.DataFrame], keys: list[str], most: int, size: str | None = None) -> Iterator[pd.DataFrame]:
+    """Rows sorted by keys, gathered to about `most` of their `size` (a column; rows, if none), no key in two frames."""
+    held: list[pd.DataFrame] = []
+    total, last = 0, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch[keys].to_numpy()
+        cum = np.concatenate([[0], np.cumsum(batch[size].to_numpy())]) if size else np.arange(len(batch) + 1)
+        bounds = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        if held and total >= most and (k[0] != last).any():
+            yield pd.concat(held, ignore_index=True)
+            held, total = [], 0
+        end = 0
+        for b in bounds:
+            if total + cum[b] - cum[end] >= most:
+                yield pd.concat([*held, batch.iloc[end:b]], ignore_index=True)
+                held, total, end = [], 0, b
+        held.append(batch.iloc[end:])
+        total, last = total + cum[-1] - cum[end], k[-1]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder and read from there: lost executors cost no recomputation."""
     prepared(df.sparkSession)
@@ -34,7 +81,7 @@ def partitions(df: DataFrame) -> int:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of edges (u long, v long) that isn't the least of its component.
+    """(node, component) of every node of edges (u, v) that isn't the least of its component; nodes: any ordered type.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Each step joins edges with one minimum a
     node, so a hub's edges can be split over tasks; what goes to the driver is a count and a sum. Self-loops and

@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions, prepared
+from .common import components, cut, partitions, prepared, whole
 
 SHINGLE, SEED, BITS, BUDGET = 4, 42, 64, 4
 #: A bucket of more fingerprints than this is parted again by a second block of bits.
 LARGE = 4096
+#: Fingerprints that a task joins at a time, whole buckets.
+JOINED = 1 << 18
 #: Node pairs that the join expands at a time.
 FRONTIER = 1 << 20
 #: Subtree pairs with no more leaf pairs than this are compared leaf by leaf.
@@ -207,15 +209,13 @@ def links(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
     rows = rows.select("t", "v", "fp", F.explode(F.when(F.col("large"), second).otherwise(F.array(F.lit(0).cast("long")))).alias("w"))
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if not (got := [b for b in batches if len(b)]):
-            return
-        all_ = pd.concat(got, ignore_index=True)
-        fp = all_["fp"].to_numpy().view(U)
-        bucket = all_.groupby(["t", "v", "w"], sort=False).ngroup().to_numpy()
-        a, b = trie_join(bucket, fp, budget)
-        yield pd.DataFrame({"u": fp[a].view(np.int64), "v": fp[b].view(np.int64)}).drop_duplicates()
+        for part in whole(batches, ["t", "v", "w"], JOINED):
+            fp = part["fp"].to_numpy().view(U)
+            bucket = part.groupby(["t", "v", "w"], sort=False).ngroup().to_numpy()
+            a, b = trie_join(bucket, fp, budget)
+            yield pd.DataFrame({"u": fp[a].view(np.int64), "v": fp[b].view(np.int64)}).drop_duplicates()
 
-    return rows.repartition(partitions(rows), "t", "v", "w").mapInPandas(joined, "u long, v long")
+    return rows.repartition(partitions(rows), "t", "v", "w").sortWithinPartitions("t", "v", "w").mapInPandas(joined, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, budget: int = BUDGET) -> DataFrame:
@@ -234,8 +234,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(hashed, f"id {kind}, fp long"))
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    root = components(links(prints, budget)).withColumnRenamed("node", "fp")
-    of = cut(prints.join(root, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of.join(least, "component").select("fp", "component_id")
+    # A fingerprint's node begins with its least id, so the least node of a component says the component's id.
+    node = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("fp").alias("fp"))
+    nodes = prints.select("fp", node.alias("node"))
+    ends = [nodes.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node")) for end in "uv"]
+    edges = links(prints, budget).join(ends[0], "u").join(ends[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    named = nodes.join(components(edges), "node", "left").select("fp", F.coalesce("component.id", "node.id").alias("component_id"))
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
