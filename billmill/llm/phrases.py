@@ -1,4 +1,4 @@
-"""Repeated passages of words: confirmed by anchors and window hashes, located by sharded Aho-Corasick automata."""
+"""Repeated passages of words: confirmed once each, compiled into sharded Aho-Corasick automata, located in all documents."""
 
 from __future__ import annotations
 
@@ -8,13 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .anchors import Rolled, covered, groups, numbered, runs, with_contexts, with_spans, word_symbols
-from .common import partitions, prepared
+from .anchors import Rolled, covered, with_spans, word_symbols
+from .common import prepared
 
 WINDOW, ANCHOR = 35, 8
-#: Windows that are compared at a time (whole anchors), and words of the documents of one automaton.
-COMPARED, SHARD_WORDS = 1 << 20, 1 << 20
-#: Code points that stand for words: all but the surrogates; 0 is any word that no phrase has.
+#: Bytes of the regions of one shard (whole anchors): its passages make an automaton, which then reads its regions.
+SHARD = 4_000_000
+#: Code points below the surrogates; 0 is between regions. Words get one each, or two letters where there are too many.
 POINTS = 0xD7FF
 
 
@@ -23,103 +23,85 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def point(i: int) -> str:
-    return chr(i + 1 if i < POINTS else i + 1 + 0x800)
-
-
-class Automaton:
-    """Phrases of equal length as words, in an Aho-Corasick automaton in which a letter stands for a word."""
-
-    def __init__(self, phrases: Iterator[list[bytes]]):
+class Stream:
+    """Regions of words, as hashes of the words and as one text in which letters stand for words."""
+
+    def __init__(self, regions: list[bytes]):
+        split = [r.split() for r in regions]
+        sizes = np.array([len(r) for r in split])
+        self.end = np.cumsum(sizes + 1) - 1
+        self.first = self.end - sizes
+        known: dict[bytes, int] = {}
+        ids = np.zeros(self.end[-1] + 1, np.int64)  # 0 is after each region
+        inside = np.ones(len(ids), bool)
+        inside[self.end] = False
+        ids[inside] = [known.setdefault(w, len(known) + 1) for r in split for w in r]
+        self.symbols = np.concatenate([[np.uint64(0)], word_symbols(list(known))])[ids]
+        self.wide = 1 if len(known) <= POINTS else 2
+        letters = ids[:, None] if self.wide == 1 else np.column_stack([-(-ids // POINTS), np.where(ids, (ids - 1) % POINTS + 1, 0)])
+        self.text = letters.astype("<u4").tobytes().decode("utf-32-le")
+
+    def confirmed(self, counts: np.ndarray, window: int) -> set[str]:
+        """The distinct passages: runs of windows that the regions, each counts times, have more than once."""
+        sizes = self.end - self.first - window + 1
+        base = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) + np.repeat(self.first - base, sizes)
+        of = np.unique(Rolled(self.symbols).runs(at, at + window), return_inverse=True)[1]
+        often = np.bincount(of, np.repeat(counts, sizes))[of] > 1
+        starts = often & np.concatenate([[True], ~often[:-1] | (np.diff(at) > 1)])
+        last = often & np.concatenate([~often[1:] | (np.diff(at) > 1), [True]])
+        return {self.text[a * self.wide : (z + window) * self.wide] for a, z in zip(at[starts].tolist(), at[last].tolist(), strict=True)}
+
+    def hits(self, passages: set[str]) -> np.ndarray:
+        """(region, start, words) of every place of a passage, by an Aho-Corasick automaton that reads the text once."""
         import ahocorasick
 
-        self.letters: dict[bytes, str] = {}
-        self.tree = ahocorasick.Automaton()
-        for phrase in phrases:
-            text = "".join([self.letters.setdefault(w, point(len(self.letters))) for w in phrase])
-            self.tree.add_word(text, len(phrase))
-        self.some = len(self.tree) > 0
-        if self.some:
-            self.tree.make_automaton()
-
-    def starts(self, text: list[bytes]) -> np.ndarray:
-        """Where in a document's words a phrase starts; phrases of one length end at most once at a place."""
-        if not self.some:
-            return np.zeros(0, np.int64)
-        coded = "".join([self.letters.get(w, "\0") for w in text])
-        return np.array([end - n + 1 for end, n in self.tree.iter(coded)], np.int64)
-
-
-def tiles(gone: np.ndarray, window: int) -> list[int]:
-    """Starts of windows that cover the runs of gone: one after the other, and one at the end of each run."""
-    return [s for a, n in runs(gone) for s in (*range(a, a + n - window + 1, window), a + n - window)]
+        if not passages:
+            return np.zeros((0, 3), np.int64)
+        tree = ahocorasick.Automaton()
+        for passage in passages:
+            tree.add_word(passage, len(passage))
+        tree.make_automaton()
+        found = np.array([(end + 1 - n, n) for end, n in tree.iter(self.text)], np.int64)
+        start, n = found[found[:, 0] % self.wide == 0].T // self.wide
+        of = np.searchsorted(self.first, start, "right") - 1
+        return np.column_stack([of, start - self.first[of], n])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, n_words, n_removed, kept) of every document: each word covered by a window of that many words that also
     starts anywhere else, in this or another document, is removed; kept has the others, joined by one space.
 
-    Windows are judged on the input. Passages, the runs of windows known to recur, are confirmed first (equal contexts
-    of an anchor, or equal windows among the contexts of one). Each shard of documents then compiles the distinct
-    phrases of its confirmed passages and streams all its documents through the automaton: what that finds is what is
-    removed. A null text has no words; repeated rows of window words or more are removed whole, all of them; an empty
-    table gives no rows; other columns are ignored.
+    Windows are judged on the input. Documents go to the shards by anchors (see anchors): each distinct region whose
+    anchor recurs goes once to the shard of that anchor, with its count, and no other region can hold a recurring
+    passage. A shard confirms its distinct passages, compiles them into one automaton and streams all its regions
+    through it; where the automaton finds a passage, in any region, all places of that region lose it, and nothing
+    else is removed. A null text has no words; repeated rows of window words or more are removed whole, all of them;
+    an empty table gives no rows; other columns are ignored.
     """
     if window < ANCHOR + 2:
         raise ValueError("window has to be 10 at least")
     prepared(docs.sparkSession)
-    rows = with_contexts(numbered(docs, id_col, text_col), lambda t: word_symbols(words(t)), window, ANCHOR)
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def region(text: str, cuts: list[tuple[int, int]]) -> list[bytes]:
+        split = words(text)
+        return [b" ".join(split[a : a + n]) for a, n in cuts]
+
+    def locate(part: pd.DataFrame) -> list[tuple]:
+        stream = Stream(part["raw"].tolist())
+        of, at, n = stream.hits(stream.confirmed(part["count"].to_numpy(), window)).T
+        return np.column_stack([part["ctx"].to_numpy()[of], part["share"].to_numpy()[of], at, n - window + 1])
+
+    judged = with_spans(docs, id_col, text_col, lambda t: word_symbols(words(t)), region, locate, SHARD, window, ANCHOR)
+
+    def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for uid, text, ask in zip(batch["uid"], batch["text"], batch["ask"], strict=True):
-                if ask is not None and len(ask):
-                    symbols = word_symbols(words(text))
-                    for x in ask:
-                        rolled = Rolled(symbols[x["lo"] : x["lo"] + x["n"] - 1 + window])
-                        out.append((x["anchor"], uid, x["lo"], x["kind"], rolled.runs(slice(0, x["n"]), slice(window, window + x["n"])).tobytes()))
-            yield pd.DataFrame(out, columns=["anchor", "uid", "lo", "kind", "windows"])
-
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in groups((b.assign(size=b["windows"].str.len() // 8) for b in batches), COMPARED):
-            if not len(part):
-                continue
-            size, kind = part["size"].to_numpy(np.int64), part["kind"].to_numpy()
-            of = np.unique(np.frombuffer(b"".join(part["windows"]), np.uint64), return_inverse=True)[1]
-            weight = np.bincount(of, np.repeat(np.where(kind == 2, 2, 1), size))
-            flags = np.split(weight[of] >= 2, np.cumsum(size)[:-1])
-            spans = [(u, lo + a, n) for u, lo, k, f in zip(part["uid"], part["lo"], kind, flags, strict=True) if k == 1 for a, n in runs(f)]
-            yield pd.DataFrame(spans, columns=["uid", "lo", "n"], dtype="int64")
-
-    asked = rows.mapInPandas(fetch, "anchor long, uid long, lo long, kind long, windows binary").repartition(partitions(docs), "anchor").sortWithinPartitions("anchor", "uid", "lo")
-    judged = with_spans(rows, asked.mapInPandas(confirm, "uid long, lo long, n long"))
-
-    def located(shard: list[tuple]) -> Iterator[pd.DataFrame]:
-        automaton = Automaton(text[s : s + window] for _, text, gone in shard for s in tiles(gone, window))
-        out = []
-        for key, text, _ in shard:
-            starts = automaton.starts(text)
-            edge = np.bincount(starts, minlength=len(text) + 1) - np.bincount(starts + window, minlength=len(text) + 1)
-            stays = (np.cumsum(edge) == 0)[: len(text)]
-            kept = [text[i] for i in np.flatnonzero(stays)]
-            out.append((key, len(text), len(text) - len(kept), b" ".join(kept).decode()))
-        yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
-
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for batch in batches:
-            for key, text, a, b in zip(batch["id"], batch["text"], batch["repeats"], batch["found"], strict=True):
+            for text, spans in zip(batch["text"], batch["spans"], strict=True):
                 split = words(text)
-                held.append((key, split, covered(len(split), window, a, b)))
-                size += len(split)
-                if size >= SHARD_WORDS:
-                    for out in located(held):
-                        yield out.astype({"id": batch["id"].dtype})
-                    held, size = [], 0
-        if held:
-            for out in located(held):
-                yield out.astype({"id": batch["id"].dtype})
+                kept = [split[i] for i in np.flatnonzero(~covered(len(split), window, spans))]
+                out.append((len(split), len(split) - len(kept), b" ".join(kept).decode()))
+            yield pd.concat([batch[["id"]], pd.DataFrame(out, columns=["n_words", "n_removed", "kept"], index=batch.index)], axis=1)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return judged.mapInPandas(locate, f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+    return judged.mapInPandas(removed, f"id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)

@@ -4,11 +4,12 @@ A symbol is a block of SYMBOL bytes, and a region of text is read as SYMBOL stri
 byte starts a suffix. Each shard of regions sorts its own suffixes once and keeps its transform: the symbol before each
 suffix, in suffix order. Merging never looks at suffixes again (Holt and McMillan, 2014): the interleave, which says
 from which shard the next suffix comes, is refined one symbol a round by one stable pass over the transforms' symbols.
-Blocks of suffixes that a round cannot part have one more symbol in common; after length / SYMBOL rounds the blocks are
-the repeated intervals.
+The round that parts a suffix from the one before it is their common prefix; where length / SYMBOL rounds do not, the
+prefix is long enough, and runs of such suffixes are the repeated intervals.
 
-Regions are the contexts of anchors that occur more than once (see anchors), each distinct one once, so what goes
-through this is what may repeat, and equal strings of length bytes are always merged in one task.
+Regions are the contexts of anchors that occur more than once (see anchors), each distinct one once with the number of
+its places, so what goes through this is all that may repeat, what repeats is told by the intervals alone, and equal
+strings of length bytes are always merged in one task. A symbol stands for 50 bytes by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .anchors import Rolled, byte_symbols, covered, groups, numbered, runs, with_contexts, with_spans
-from .common import partitions, prepared
+from .anchors import Rolled, byte_symbols, covered, runs, with_spans
+from .common import prepared
 
 LENGTH, ANCHOR, SYMBOL = 200, 32, 50
 #: Bytes of regions that are merged at a time (whole anchors), and suffixes of a shard.
@@ -56,11 +57,9 @@ class Shard:
         self.bwt = np.where(p >= 0, symbols[p], 0)  # 0: the string starts here
 
 
-def interleaved(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shard, block, lcp) of each suffix in merged order by the first `rounds` symbols.
-
-    lcp: symbols in common with the suffix before, as far as rounds tell.
-    """
+def interleaved(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shard, lcp) of each suffix in merged order by the first `rounds` symbols; lcp: symbols in common with the suffix
+    before, as far as rounds tell."""
     sizes = [len(s.order) for s in shards]
     ends = np.repeat(np.arange(len(shards)), [s.ends for s in shards])
     of, bwt = np.repeat(np.arange(len(shards)), sizes), np.concatenate([s.bwt for s in shards])
@@ -76,11 +75,11 @@ def interleaved(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarra
         block = np.concatenate([np.arange(len(ends)), len(ends) - 1 + np.cumsum(new)])
         split = np.concatenate([[True], block[1:] != block[:-1]])
         lcp[split & (lcp == rounds)] = done
-    return of, block, lcp
+    return of, lcp
 
 
-def repeated(regions: list[bytes], many: np.ndarray, length: int = LENGTH, step: int = SYMBOL) -> list[np.ndarray]:
-    """For each region, which of its length-byte strings also start elsewhere; many: the region itself is repeated."""
+def repeated(regions: list[bytes], counts: np.ndarray, length: int = LENGTH, step: int = SYMBOL) -> list[np.ndarray]:
+    """For each region, which of its length-byte strings also start elsewhere; counts: how often there is the region."""
     sizes = np.array([len(r) - step + 1 for r in regions])
     hashed = []
     for r in regions:
@@ -91,15 +90,16 @@ def repeated(regions: list[bytes], many: np.ndarray, length: int = LENGTH, step:
     first = np.concatenate([[0], np.cumsum(sizes)])
     shards = [Shard(sizes[a:b], symbols[first[a] : first[b]], step) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
     starts = [first[a] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-    of, block, _ = interleaved(shards, length // step)
+    of, lcp = interleaved(shards, length // step)
     position = np.empty(len(of), np.int64)  # of each merged suffix, or -1 for an end
     position[np.argsort(of.astype(np.uint16), kind="stable")] = np.concatenate([np.where(s.order < len(s.symbols), s.order + at, -1) for s, at in zip(shards, starts, strict=True)])
     region = np.repeat(np.arange(len(regions)), sizes)
     full = position >= 0
     full[full] = position[full] - first[region[position[full]]] <= sizes[region[position[full]]] - 1 - (length - step)
-    weight = np.bincount(block[full], np.where(many[region[position[full]]], 2, 1), minlength=int(block.max(initial=0)) + 1)
+    interval = np.cumsum(lcp < length // step) - 1 if len(lcp) else lcp
+    weight = np.bincount(interval[full], counts[region[position[full]]], minlength=int(interval.max(initial=0)) + 1)
     out = np.zeros(first[-1], bool)
-    out[position[full]] = weight[block[full]] >= 2
+    out[position[full]] = weight[interval[full]] >= 2
     return [out[a : a + n] for a, n in zip(first[:-1], sizes - (length - step), strict=True)]
 
 
@@ -114,35 +114,23 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if length % 4 or length < ANCHOR + 8:
         raise ValueError("length has to be a multiple of 4, and 40 at least")
     prepared(docs.sparkSession)
-    rows = with_contexts(numbered(docs, id_col, text_col), lambda t: byte_symbols((t or "").encode()), length, ANCHOR)
 
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for uid, text, ask in zip(batch["uid"], batch["text"], batch["ask"], strict=True):
-                if ask is not None and len(ask):
-                    raw = text.encode()
-                    out += [(x["anchor"], uid, x["lo"], x["kind"], raw[x["lo"] : x["lo"] + x["n"] - 1 + length]) for x in ask]
-            yield pd.DataFrame(out, columns=["anchor", "uid", "lo", "kind", "raw"])
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in groups((b.assign(size=b["raw"].str.len()) for b in batches), MERGED):
-            if not len(part):
-                continue
-            kind = part["kind"].to_numpy()
-            found = repeated(part["raw"].tolist(), kind == 2, length, length // 4)
-            spans = [(u, lo + a, n) for u, lo, k, flags in zip(part["uid"], part["lo"], kind, found, strict=True) if k == 1 for a, n in runs(flags)]
-            yield pd.DataFrame(spans, columns=["uid", "lo", "n"], dtype="int64")
-
-    asked = rows.mapInPandas(fetch, "anchor long, uid long, lo long, kind long, raw binary").repartition(partitions(docs), "anchor").sortWithinPartitions("anchor", "uid", "lo")
-    judged = with_spans(rows, asked.mapInPandas(merge, "uid long, lo long, n long"))
+    def region(text: str, cuts: list[tuple[int, int]]) -> list[bytes]:
+        raw = text.encode()
+        return [raw[a : a + n] for a, n in cuts]
+
+    def merge(part: pd.DataFrame) -> list[tuple]:
+        found = repeated(part["raw"].tolist(), part["count"].to_numpy(), length, length // 4)
+        return [(c, s, a, n) for c, s, flags in zip(part["ctx"], part["share"], found, strict=True) for a, n in runs(flags)]
+
+    judged = with_spans(docs, id_col, text_col, lambda t: byte_symbols((t or "").encode()), region, merge, MERGED, length, ANCHOR)
 
     def removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, a, b in zip(batch["text"], batch["repeats"], batch["found"], strict=True):
+            for text, spans in zip(batch["text"], batch["spans"], strict=True):
                 raw = np.frombuffer((text or "").encode(), np.uint8)
-                gone = covered(len(raw), length, a, b)
+                gone = covered(len(raw), length, spans)
                 out.append((len(raw), int(gone.sum()), len(runs(gone)), raw[~gone].tobytes()))
             yield pd.concat([batch[["id"]], pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"], index=batch.index)], axis=1)
 

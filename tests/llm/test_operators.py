@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from billmill.llm import langid, mixing, packing, phrases, quotations, rabitq, secrets, simhash, suffixes, topk
+from billmill.llm import anchors, common, langid, mixing, packing, phrases, quotations, rabitq, secrets, simhash, suffixes, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, uid long, row string, id string"
 
@@ -184,7 +184,66 @@ def test_top_k_of_large_components(spark, monkeypatch):
     assert sorted(sizes) == sorted(sizes, key=topk.sortable)
 
 
-def test_suffixes(spark):
+@pytest.fixture(params=["production", "small"])
+def small(request, monkeypatch):
+    """Constants at which a few rows cross every boundary: parts, hot anchors, shares, shards."""
+    if request.param == "small":
+        for module, name, value in ((anchors, "PART", 700), (anchors, "MANY", 3), (anchors, "SHARE", 2), (suffixes, "MERGED", 2000), (suffixes, "SHARD", 300), (phrases, "SHARD", 500), (phrases, "POINTS", 7)):
+            monkeypatch.setattr(module, name, value)
+        spark_batch = "3"
+    else:
+        spark_batch = "2048"
+    monkeypatch.setattr(common, "ARROW_ROWS", spark_batch)
+
+
+def long_rows():
+    """Documents of more than a part's symbols, in which a passage is at a part's end, twice, and in a short one."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("abcdefgh", k=2)) for _ in range(60)]
+    passage = " ".join(rnd.choices(words, k=90))
+    split = rnd.choices(words, k=(1 << 20) + 4000)
+    at = (1 << 20) - 40
+    return [(1, " ".join([*split[:300], passage, *split[300:at], passage, *split[at:]])), (2, passage), (3, " ".join(split[at - 120 : at + 120]))]
+
+
+def test_suffixes_of_long_documents(spark):
+    rows = long_rows()
+    count = Counter(hash(t[i : i + 200]) for _, t in rows for i in range(len(t) - 199))
+    got = {r.doc_id: r for r in suffixes.without_repeats(documents(spark, rows)).collect()}
+    for i, t in rows:
+        edge = np.zeros(len(t) + 1, int)
+        for a in range(len(t) - 199):
+            if count[hash(t[a : a + 200])] > 1:
+                edge[a] += 1
+                edge[a + 200] -= 1
+        stays = np.cumsum(edge[:-1]) == 0
+        assert len(t) > 1 << 21 or i > 1
+        assert got[i].n_removed == (~stays).sum() > 0 and bytes(got[i].kept) == np.frombuffer(t.encode(), np.uint8)[stays].tobytes()
+
+
+def test_phrases_of_long_documents(spark):
+    rows = [(i, t.split()) for i, t in long_rows()]
+    count = Counter(hash(" ".join(w[a : a + 35])) for _, w in rows for a in range(len(w) - 34))
+    got = {r.doc_id: r for r in phrases.without_repeats(documents(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
+    for i, w in rows:
+        edge = np.zeros(len(w) + 1, int)
+        for a in range(len(w) - 34):
+            if count[hash(" ".join(w[a : a + 35]))] > 1:
+                edge[a] += 1
+                edge[a + 35] -= 1
+        stays = np.cumsum(edge[:-1]) == 0
+        assert got[i].n_removed == (~stays).sum() > 0 and got[i].kept == " ".join(w[j] for j in np.flatnonzero(stays))
+
+
+def test_phrases_come_from_the_automata(spark, monkeypatch):
+    """Without what the automata find, nothing is removed; likewise for the merged intervals."""
+    monkeypatch.setattr(phrases.Stream, "hits", lambda self, passages: np.zeros((0, 3), np.int64))
+    monkeypatch.setattr(suffixes, "repeated", lambda regions, counts, length, step: [np.zeros(len(r) - length + 1, bool) for r in regions])
+    assert {r.n_removed for r in phrases.without_repeats(documents(spark)).collect()} == {0}
+    assert {r.n_removed for r in suffixes.without_repeats(documents(spark)).collect()} == {0}
+
+
+def test_suffixes(spark, small):
     rows = odd_rows()
     raws = [(t or "").encode() for _, t in rows]
     count = Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
@@ -212,16 +271,16 @@ def test_merge_over_shards(monkeypatch):
         if i % 3:
             r[rnd.randrange(len(r))] = 65 + i % 26
         regions.append(bytes(r))
-    many = np.array([i % 10 == 0 for i in range(120)])
+    counts = np.array([1 + 6 * (i % 10 == 0) for i in range(120)])
     count = Counter()
-    for r, m in zip(regions, many, strict=True):
+    for r, m in zip(regions, counts, strict=True):
         for i in range(len(r) - 199):
-            count[r[i : i + 200]] += 1 + m
-    for r, flags in zip(regions, suffixes.repeated(regions, many), strict=True):
+            count[r[i : i + 200]] += m
+    for r, flags in zip(regions, suffixes.repeated(regions, counts), strict=True):
         assert flags.tolist() == [count[r[i : i + 200]] > 1 for i in range(len(r) - 199)]
 
 
-def test_phrases(spark):
+def test_phrases(spark, small):
     rows = odd_rows()
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     count = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
