@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 ARROW_ROWS, ARROW_BYTES = 2048, 16 << 20
 
 
+#: Parts that a node's edges are dealt into.
+SALTS = 8
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches, and gives a session without spark.checkpoint.dir a folder of its own (tests only)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -84,8 +88,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (u, v) that isn't the least of its component; nodes: any ordered type.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Each step joins edges with one minimum a
-    node, so a hub's edges can be split over tasks; what goes to the driver is a count and a sum. Self-loops and
-    repeated edges are allowed; no edges, no rows.
+    node, by node and salt, so that a hub's edges are split over tasks; what goes to the driver is a count and a sum.
+    Self-loops and repeated edges are allowed; no edges, no rows.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, before = cut(e), None
@@ -94,9 +98,15 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        # A node's larger neighbours go to the least of its smaller ones (itself, if it has none) ...
+        large = with_least(e, e, "v", "u").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # ... and then its smaller ones, and itself, to the least of those.
+        least = large.groupBy("u").agg(F.min("v").alias("v"))
+        small = with_least(large, large, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(least).distinct())
+
+
+def with_least(edges: DataFrame, of: DataFrame, on: str, other: str) -> DataFrame:
+    """edges with m, the least v that `of` has where its u is the edge's node `on`; the edge's other end is the salt."""
+    least = of.groupBy(F.col("u").alias(on)).agg(F.min("v").alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(least, [on, "salt"], "left")
