@@ -16,8 +16,8 @@ from .common import cut, partitions, prepared
 from .vectors import finite, gram, matrix, width_of
 
 K, SCALE = 5, 256
-#: Vectors of a packed block, and candidate blocks that one task streams.
-BLOCK, STRIPE = 2048, 24
+#: Vectors of a packed block, queries of one task, and candidate blocks that one task streams at most.
+BLOCK, ASKED, STRIPE = 2048, 8192, 24
 #: Vectors with a component over this are scored in Python's integers (the bound is lower if they are over 512 wide).
 LARGEST = float(1 << 22)
 #: What a long holds.
@@ -55,13 +55,14 @@ class Best:
         return np.where(self.row[:, -1] >= 0, self.score[:, -1].astype(float), -np.inf)
 
 
-def search(q: np.ndarray, q_row: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], turn: np.ndarray, k: int) -> Best:
-    """The best k of the blocks (vectors, keys, rows; longest vectors first) for each query; integers in doubles."""
+def search(q: np.ndarray, q_row: np.ndarray, known: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], turn: np.ndarray, k: int) -> Best:
+    """The best k of the blocks (vectors, keys, rows; longest vectors first) for each query; integers in doubles. known:
+    scores that k candidates reach in any case."""
     best, head = Best(len(q), k), max(1, round(q.shape[1] * HEAD))
     turned = q @ turn
     q_head, q_rest, q_norm = turned[:, :head], np.linalg.norm(turned[:, head:], axis=1), np.linalg.norm(q, axis=1)
     for c, key, row in blocks:
-        longest, least = np.linalg.norm(c[0]), best.threshold()  # the block's longest comes first
+        longest, least = np.linalg.norm(c[0]), np.maximum(best.threshold(), known)  # the block's longest comes first
         slack = 1e-6 + longest * q.shape[1] * 2.0**-50
         open_ = np.flatnonzero(q_norm * (longest + slack) + slack >= least)
         if not len(open_):
@@ -140,15 +141,15 @@ def search_large(q: np.ndarray, q_row: np.ndarray, blocks: Iterator[tuple[np.nda
     return best
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, every: int = 50, seed: int = 42) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, every: int = 50) -> DataFrame:
     """query_id, rank, the id and score of the k best other rows for each row of vectors whose id every divides.
 
     A component counts as floor(scale * x). queries is vectors or a part of it; its rows are known by id, so every
     row of vectors with such an id is a query. Ties go to the smaller id (null last), then to the earlier row. Vectors
     null or with null or non-finite components take no part; shorter vectors are filled up
     with zeros; those with a component beyond LARGEST are ranked exactly too, and a score that no long holds is null; rows repeated under one id are each other's candidates; an empty table gives no rows; other columns
-    are ignored. Components are sorted by length once, packed, and each block of queries meets them in that order in
-    STRIPE-block shares; only what enters a share's k best leaves its task.
+    are ignored. Candidates are sorted by length once, packed in blocks, and each group of queries meets those that are
+    long enough for it, in that order, in shares of STRIPE blocks at most; only a share's k best leave its task.
     """
     prepared(vectors.sparkSession)
     whole = lambda y: F.when(F.abs(y) < float(1 << 52), F.floor(y).cast("double")).otherwise(y)
@@ -158,70 +159,99 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     is_large = F.exists("v", lambda x: F.abs(x) > min(LARGEST, math.isqrt((1 << 53) // width)))
     rows, large = all_rows.where(~is_large), all_rows.where(is_large)
     turn = rotation(gram(rows, "v", width))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     ids = queries.select(F.col(id_col).cast("long").alias("id")).distinct()
     asking = lambda df: df.where(F.pmod("id", F.lit(every)) == 0) if queries is vectors else df.where(F.pmod("id", F.lit(every)) == 0).join(ids, "id", "left_semi")
 
-    layout, result = "longest double, vectors binary, ids binary, rows binary", "query_id long, query_row long, key long, row long, score long, wide binary"
+    layout, result = "longest double, vectors binary, ids binary, rows binary, known binary", "query_id long, query_row long, key long, row long, score long, wide binary"
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
 
     def packed(part: pd.DataFrame, kind: type) -> pd.DataFrame:
         ids = part["id"].astype("Int64").fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
-        return pd.DataFrame({"longest": [part["norm"].max()], "vectors": [matrix(part["v"], width, kind).tobytes()], "ids": [ids.tobytes()], "rows": [part["row"].to_numpy(np.int64).tobytes()]})
+        return pd.DataFrame({"longest": [part["norm"].iloc[0]], "vectors": [matrix(part["v"], width, kind).tobytes()], "ids": [ids.tobytes()], "rows": [part["row"].to_numpy(np.int64).tobytes()], "known": [part["known"].fillna(-np.inf).to_numpy(np.float64).tobytes()]})
 
-    def near(q: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, blocks: Iterator) -> pd.DataFrame:
-        best = search(q, q_rows, blocks, turn, k)
+    def near(q: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, known: np.ndarray, blocks: Iterator) -> pd.DataFrame:
+        best = search(q, q_rows, known, blocks, turn, k)
         i, j = np.nonzero(best.row >= 0)
         return pd.DataFrame({"query_id": q_ids[i], "query_row": q_rows[i], "key": best.key[i, j], "row": best.row[i, j], "score": best.score[i, j], "wide": None})
 
-    def far(q: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, blocks: Iterator) -> pd.DataFrame:
+    def far(q: np.ndarray, q_ids: np.ndarray, q_rows: np.ndarray, known: np.ndarray, blocks: Iterator) -> pd.DataFrame:
         best = search_large(q, q_rows, blocks, k)
         out = [(q_ids[i], q_rows[i], key, row, min(max(-s, LEAST), MOST), None if LEAST < -s < MOST else sortable(-s)) for i, b in enumerate(best) for s, key, row in b]
         return pd.DataFrame(out, columns=["query_id", "query_row", "key", "row", "score", "wide"])
 
-    def meeting(asked: DataFrame, known: DataFrame, kind: type, find: Callable[..., pd.DataFrame]) -> DataFrame:
-        """What find makes of the blocks of asked and those of known: one row a block and side. A share has every stripes-th block, longest first."""
+    def blocks_of(df: DataFrame, kind: type, size: int) -> DataFrame:
+        """df's vectors, size to a row, in the order they come."""
 
         def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: list[pd.DataFrame] = []
             for batch in batches:
                 held.append(batch)
-                while sum(map(len, held)) >= BLOCK:
+                while sum(map(len, held)) >= size:
                     all_ = pd.concat(held)
-                    yield packed(all_[:BLOCK], kind)
-                    held = [all_[BLOCK:]]
+                    yield packed(all_[:size], kind)
+                    held = [all_[size:]]
             if sum(map(len, held)):
                 yield packed(pd.concat(held), kind)
 
-        n = known.count()
-        shares = max(1, -(-n // (BLOCK * 4)))
-        ordered = known.withColumn("norm", norm).repartitionByRange(shares, F.desc("norm"), "row").sortWithinPartitions(F.desc("norm"), "row")
-        candidates = cut(ordered.mapInPandas(blocked, layout).withColumn("block", F.monotonically_increasing_id()))
-        asked = asked.withColumn("norm", F.lit(0.0)).repartition(max(1, n // every // BLOCK), "row")
-        asked = cut(asked.mapInPandas(blocked, layout).select("vectors", "ids", "rows", F.monotonically_increasing_id().alias("asked")))
-        stripes = max(1, -(-candidates.count() // STRIPE))
-        dealt = candidates.withColumn("stripe", F.pmod(F.xxhash64("block", F.lit(seed)), F.lit(stripes)))
-        numbers = [r["asked"] for r in asked.select("asked").collect()]  # one a block of queries
-        left = asked.select("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(stripes - 1).cast("long"))).alias("stripe"), F.lit(True).alias("is_query"), F.lit(0.0).alias("longest"), "vectors", "ids", "rows")
-        right = dealt.select(F.explode(F.lit(numbers).cast("array<long>")).alias("asked"), "stripe", F.lit(False).alias("is_query"), "longest", "vectors", "ids", "rows")
-        tasks = left.unionByName(right).repartition(partitions(known), "asked", "stripe").sortWithinPartitions("asked", "stripe", F.desc("is_query"), F.desc("longest"))
+        return df.mapInPandas(blocked, layout).withColumn("block", F.monotonically_increasing_id())
+
+    def by_length(df: DataFrame, kind: type) -> tuple[DataFrame, int]:
+        """Candidates in blocks by falling length, and how many blocks."""
+        shares = max(1, -(-df.count() // (BLOCK * 4)))
+        ordered = df.withColumn("norm", norm).withColumn("known", F.lit(None).cast("double")).repartitionByRange(shares, F.desc("norm"), "row").sortWithinPartitions(F.desc("norm"), "row")
+        made = cut(blocks_of(ordered, kind, BLOCK))
+        return made, made.count()
+
+    def grouped(df: DataFrame, kind: type) -> DataFrame:
+        """Queries in groups by rising norm, which here is the length that a candidate of use has at least."""
+        shares = max(1, -(-df.count() // ASKED))
+        return cut(blocks_of(df.repartitionByRange(shares, "norm", "row").sortWithinPartitions("norm", "row"), kind, ASKED))
+
+    def meeting(asked: DataFrame, blocks: DataFrame, n_blocks: int, kind: type, find: Callable[..., pd.DataFrame]) -> DataFrame:
+        """What find makes of groups of queries and blocks. A task has a group and every stripes-th block that the group
+        needs, longest first; blocks too short for all of its queries aren't sent."""
+        needs = asked.select("block", "longest").collect()  # 16 bytes for ASKED queries
+        stripes = max(1, -(-n_blocks // STRIPE), min(n_blocks, -(-2 * cores // max(1, len(needs)))))
+        # Block numbers have their partition above bit 33, and a partition has about four blocks: this deals them in turn.
+        groups = F.lit([r["block"] for r in needs]).cast("array<long>")
+        least = F.transform(F.lit([r["longest"] for r in needs]).cast("array<double>"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        columns = ("longest", "vectors", "ids", "rows", "known")
+        left = asked.select((F.array_position(groups, F.col("block")) - 1).cast("int").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.lit(True).alias("is_query"), *columns)
+        wanted = F.transform(F.filter(least, lambda z: z["x"] <= F.col("longest")), lambda z: z["i"])
+        right = blocks.select(F.explode(wanted).alias("asked"), F.pmod(F.shiftright("block", 33) * 5 + F.col("block").bitwiseAND((1 << 33) - 1), F.lit(stripes)).cast("int").alias("stripe"), F.lit(False).alias("is_query"), *columns)
+        task = F.col("asked").cast("long") * stripes + F.col("stripe")
+        tasks = left.unionByName(right).withColumn("task", task).repartitionByRange(max(1, min(len(needs) * stripes, 16 * max(cores, partitions(blocks)))), "task")
+        tasks = tasks.sortWithinPartitions("task", F.desc("is_query"), F.desc("longest")).drop("task")
 
         def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             def parts():
                 for batch in batches:
                     for r in batch.itertuples(index=False):
                         v = np.frombuffer(r.vectors, kind).reshape(-1, width).astype(np.float64)
-                        yield (r.asked, r.stripe), r.is_query, v, np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows, np.int64)
+                        yield (r.asked, r.stripe), r.is_query, v, np.frombuffer(r.ids, np.int64), np.frombuffer(r.rows, np.int64), np.frombuffer(r.known)
 
             for _, part in groupby(parts(), key=lambda p: p[0]):
                 _, is_query, *query = next(part)
                 if is_query:
-                    yield find(*query, (p[2:] for p in part))
+                    yield find(*query, (p[2:5] for p in part))
 
         return tasks.mapInPandas(met, result)
 
-    found = meeting(asking(rows), rows, np.int32, near)
+    blocks, n_blocks = by_length(rows, np.int32)
+    queries_ = asking(rows)
+    unknown = lambda df: df.withColumn("norm", F.lit(float("-inf"))).withColumn("known", F.lit(None).cast("double"))
+    # A look at the longest vectors gives each query a score that k of them reach, and so the length that others need.
+    longest = blocks.orderBy(F.desc("longest")).limit(1)
+    seen = meeting(grouped(unknown(queries_), np.int32), longest, 1, np.int32, near).groupBy(F.col("query_row").alias("row")).agg(F.count("*").alias("n"), F.min("score").cast("double").alias("known")).where(F.col("n") >= k).drop("n")
+    reach = F.when((norm > 0) & F.col("known").isNotNull(), F.col("known") / norm - 1e-6 * (1 + F.abs(F.col("known") / norm))).otherwise(F.lit(float("-inf")))
+    asked = queries_.join(seen, "row", "left").withColumn("norm", reach)
+    found = meeting(grouped(asked, np.int32), blocks, n_blocks, np.int32, near)
     if not large.isEmpty():
-        found = found.unionByName(meeting(asking(all_rows), large, np.float64, far)).unionByName(meeting(asking(large), rows, np.float64, far))
+        far_blocks, n_far = by_length(large, np.float64)
+        exact, _ = by_length(rows, np.float64)
+        found = found.unionByName(meeting(grouped(unknown(asking(all_rows)), np.float64), far_blocks, n_far, np.float64, far))
+        found = found.unionByName(meeting(grouped(unknown(asking(large)), np.float64), exact, n_blocks, np.float64, far))
     order = (F.desc("score"), F.desc_nulls_last("wide"), F.asc("key"), F.asc("row"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(*order))).where(F.col("rank") <= k)
     id_ = F.when(F.col("key") < F.lit(int(np.iinfo(np.int64).max)), F.col("key"))
