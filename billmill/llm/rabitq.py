@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, partitions, prepared
+from .common import components, cut, partitions, prepared, whole
 from .simhash import Forest
 from .vectors import finite, matrix, width_of
 
@@ -21,8 +21,8 @@ ROTATIONS = 4
 SIGMAS = 4.0
 #: Mean size of an index bucket, and the share of linked pairs that no table may bring together.
 BUCKET, MISSED = 32, 0.001
-#: Rows of a bucket that meet at a time, and that one task gets of it.
-STEP, SPLIT = 1024, 8192
+#: Rows of a bucket that meet at a time, rows of a bucket's block, and how many buckets beyond one block may be broadcast.
+STEP, SPLIT, FEW = 1024, 8192, 10_000
 
 
 def rotations(width: int, n: int = ROTATIONS, seed: int = SEED) -> np.ndarray:
@@ -80,16 +80,23 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / np.sqrt(np.einsum("ij,ij->i", a, a) * np.einsum("ij,ij->i", b, b))
 
 
-def linked(raw: np.ndarray, key: np.ndarray, table: int, turn: np.ndarray, cosine: float, own: slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs i < j of a bucket's rows, i in own, that link and that no earlier table has brought together."""
-    unit = raw / np.abs(raw).max(axis=1, keepdims=True)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    signs, factors = encode(unit, turn)
-    turned = unit @ turn
+class Coded:
+    """Vectors with their codes, correction factors and rotated forms."""
+
+    def __init__(self, raw: np.ndarray, turn: np.ndarray):
+        self.raw = raw
+        unit = raw / np.abs(raw).max(axis=1, keepdims=True)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        self.signs, self.factors = encode(unit, turn)
+        self.turned = unit @ turn
+
+
+def linked(coded: Coded, key: np.ndarray, table: int, cosine: float, own: range, others: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of rows, i in own and j in others, that link and that no earlier table has brought together."""
     for a in range(own.start, own.stop, STEP):
         rows = np.arange(a, min(own.stop, a + STEP))
-        for b in range(a, len(raw), STEP):
-            near, wide = estimate(signs[rows], factors[rows], turned[b : b + STEP])
+        for b in range(max(a, others.start), others.stop, STEP):
+            near, wide = estimate(coded.signs[rows], coded.factors[rows], coded.turned[b : min(others.stop, b + STEP)])
             i, j = np.nonzero(near + wide[:, None] >= cosine)
             i, j = rows[i], j + b
             keep = i < j
@@ -99,7 +106,7 @@ def linked(raw: np.ndarray, key: np.ndarray, table: int, turn: np.ndarray, cosin
                 i, j = i[new], j[new]
             for at in range(0, len(i), 1 << 16):
                 x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                sure = exact(raw[x], raw[y]) >= cosine
+                sure = exact(coded.raw[x], coded.raw[y]) >= cosine
                 if sure.any():
                     yield x[sure], y[sure]
 
@@ -110,7 +117,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n_links is the number of other rows found with a cosine of at least cosine; component_id the least id that links
     reach. Equal vectors are one entry with a count. The index has tables of hyperplane keys, with more bits and tables
     as rows grow, and every entry is in all of them; a pair is judged in the first table that it meets in, so links are
-    counted where they are found and never gathered. Vectors null, zero, or with null or non-finite components link
+    counted where they are found and never gathered. Large buckets meet by pairs of blocks. Vectors null, zero, or with null or non-finite components link
     with nothing; shorter ones are filled up with zeros; repeated rows link with each other; a null id is never a
     component_id unless all ids in it are null; an empty table gives no rows; other columns are ignored.
     """
@@ -123,32 +130,45 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     bits, count = tables(n, cosine)
     turn, normals = rotations(width, seed=seed), planes(width, bits, count, seed)
 
+    single = vectors.schema[vector_col].dataType.elementType.simpleString() == "float"  # as floats, nothing is lost
+    kind, key_kind = np.float32 if single else np.float64, np.uint16 if bits <= 16 else np.int64
+
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             m = matrix(batch["v"], width)
             found = keys(m / np.abs(m).max(axis=1, keepdims=True), normals, bits)
-            yield pd.DataFrame({"e": batch["e"], "n": batch["n"], "raw": [x.tobytes() for x in m], "keys": [x.tobytes() for x in found.astype(np.int32 if bits < 31 else np.int64)], "each": list(found)})
+            yield pd.DataFrame({"e": batch["e"], "n": batch["n"], "raw": [x.tobytes() for x in m.astype(kind)], "keys": [x.tobytes() for x in found.astype(key_kind)], "each": list(found)})
 
-    each = entries.select("e", "n", "v").mapInPandas(keyed, "e long, n long, raw binary, keys binary, each array<long>")
+    each = cut(entries.select("e", "n", "v").mapInPandas(keyed, "e long, n long, raw binary, keys binary, each array<long>"))
+    # The rows of a bucket that is larger than a block meet by pairs of blocks, a task a pair.
+    large = cut(each.select(F.posexplode("each").alias("t", "b")).groupBy("t", "b").count().where(F.col("count") > SPLIT).select("t", "b", F.ceil(F.col("count") / SPLIT).cast("int").alias("blocks")))
     dealt = each.select("e", "n", "raw", "keys", F.posexplode("each").alias("t", "b"))
-    # A bucket of more than SPLIT rows goes to several tasks: each has all of its rows and judges a share of the pairs.
-    sizes = dealt.groupBy("t", "b").count().where(F.col("count") > SPLIT).select("t", "b", F.ceil(F.col("count") / SPLIT).cast("int").alias("shares"))
-    dealt = dealt.join(sizes, ["t", "b"], "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+    if (some := large.count()):
+        dealt = dealt.join(F.broadcast(large) if some <= FEW else large, ["t", "b"], "left").withColumn("block", F.pmod(F.xxhash64("e"), F.coalesce("blocks", F.lit(1))).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    else:
+        dealt = dealt.select("*", *(F.lit(0).alias(c) for c in ("block", "one", "two")))
+    dealt = dealt.select("t", "b", "one", "two", "block", "e", "n", "raw", "keys")
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def bucket(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            part = pd.concat(parts).sort_values("e")
-            if len(part) < 2:
-                return
-            raw = np.frombuffer(b"".join(part["raw"]), np.float64).reshape(len(part), width)
-            key = np.frombuffer(b"".join(part["keys"]), np.int32 if bits < 31 else np.int64).reshape(len(part), count)
-            shares = 1 if pd.isna(part["shares"].iloc[0]) else int(part["shares"].iloc[0])
-            share, mass, e = int(part["share"].iloc[0]), part["n"].to_numpy(), part["e"].to_numpy()
-            step = -(-len(part) // (2 * shares))  # the first rows have the most pairs: take a slice of either end
+        for part in whole(batches, ["t", "b", "one", "two"], 4 * STEP):
+            group = part[["t", "b", "one", "two"]].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(axis=1)]))
+            size = np.diff(np.append(first, len(part)))
+            several = np.repeat(size > 1, size)
+            part, group = part[several], group[several]
+            first = np.cumsum(size[size > 1]) - size[size > 1]
+            if not len(part):
+                continue
+            coded = Coded(np.frombuffer(b"".join(part["raw"]), kind).reshape(len(part), width).astype(np.float64), turn)
+            key = np.frombuffer(b"".join(part["keys"]), key_kind).reshape(len(part), count)
+            mass, e, block = part["n"].to_numpy(), part["e"].to_numpy(), part["block"].to_numpy()
             more, forest = np.zeros(len(part), np.int64), Forest(len(part))
-            for s in (share, 2 * shares - 1 - share):
-                own = slice(min(len(part), s * step), min(len(part), (s + 1) * step))
-                for i, j in linked(raw, key, int(part["t"].iloc[0]), turn, cosine, own):
+            for a, z in zip(first, [*first[1:], len(part)], strict=True):
+                table, _, one, two = group[a]
+                split = a + int((block[a:z] == one).sum())
+                own, others = (range(a, z), range(a, z)) if one == two else (range(a, split), range(split, z))
+                for i, j in linked(coded, key, int(table), cosine, own, others):
                     np.add.at(more, i, mass[j])
                     np.add.at(more, j, mass[i])
                     forest.link(i, j)
@@ -156,25 +176,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             if len(got):
                 yield pd.DataFrame({"u": e[got], "v": e[forest.root[got]], "more": more[got]})
 
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            cols = batch[["t", "b", "share"]].to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], (cols[1:] != cols[:-1]).any(axis=1)])) if len(batch) else []
-            for a, z in zip(starts, [*starts[1:], len(batch)], strict=True):
-                part = batch.iloc[a:z]
-                if held and (held[0][["t", "b", "share"]].iloc[0].to_numpy() != part[["t", "b", "share"]].iloc[0].to_numpy()).any():
-                    yield from bucket(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield from bucket(held)
-
-    ordered = dealt.repartition(partitions(dealt), "t", "b", "share").sortWithinPartitions("t", "b", "share")
+    ordered = dealt.repartition(partitions(dealt), "t", "b", "one", "two").sortWithinPartitions("t", "b", "one", "two", "block")
     found = cut(ordered.mapInPandas(met, "u long, v long, more long"))
     more = found.groupBy(F.col("u").alias("e")).agg(F.sum("more").alias("more"))
-    root = components(found.select("u", "v")).withColumnRenamed("node", "e")
-    of = entries.join(more, "e", "left").join(root, "e", "left").select("v", "least", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "e").alias("c"))
-    of = cut(of)
-    named = of.join(of.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("v", "n_links", "component_id")
+    # An entry's node begins with its least id, so the least node of a component says the component's id.
+    nodes = entries.select("e", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("e").alias("e")).alias("node"))
+    ends = [nodes.select(F.col("e").alias(end), F.col("node").alias(f"{end}_node")) for end in "uv"]
+    edges = found.where("u <> v").select("u", "v").distinct().join(ends[0], "u").join(ends[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    root = components(edges).select(F.col("node.e").alias("e"), F.col("component.id").alias("component_id"))
+    of = entries.join(more, "e", "left").join(root, "e", "left")
+    named = of.select("v", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     out = rows.join(named, "v", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))

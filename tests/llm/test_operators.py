@@ -151,6 +151,23 @@ def test_trie_join():
     assert len({*zip(got.root, want, strict=True)}) == len({*want}) == len({*got.root})
 
 
+def test_top_k_prunes_by_length(spark, monkeypatch):
+    """Small blocks and groups, wide vectors, lengths from short to long, ties: each group meets a part of the blocks."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "ASKED", 2)
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal((400, 600)) * (0.01 + 5 * rng.random((400, 1)) ** 4)
+    v[200:240] = v[100:140]
+    df = spark.createDataFrame([(i, [float(np.float32(x)) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    ints = np.floor(256 * v.astype(np.float32).astype(float)).astype(object)
+    want = Counter()
+    for i in range(0, 400, 50):
+        scores = ints @ ints[i]
+        best = sorted((-s, j) for j, s in enumerate(scores) if j != i)[:5]
+        want.update((i, r, j, -s) for r, (s, j) in enumerate(best, 1))
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df).collect()) == want
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(230)]
