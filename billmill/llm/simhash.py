@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(hashed, f"id {kind}, fp long"))
-    prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     # A fingerprint's node begins with its least id, so the least node of a component says the component's id.
     node = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("fp").alias("fp"))
     nodes = prints.select("fp", node.alias("node"))
