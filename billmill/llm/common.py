@@ -80,6 +80,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like name that df hasn't got."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

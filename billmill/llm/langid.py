@@ -20,6 +20,10 @@ SAMPLE, LANDMARKS = 500, 128
 RIDGE, SEED = 1e-3, 42
 #: No prediction: no text, or no letter in it.
 UNKNOWN = "und"
+#: Where a claim can be asked for: different n-grams of a text that is judged by it (some 40 letters).
+EVIDENCE = 100
+#: Labels that a model may have: the driver and the broadcast hold LANDMARKS rows or twice the labels, and SAMPLE bits each.
+MOST_LABELS = 1000
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -84,14 +88,16 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, most_labels: int = MOST_LABELS) -> Model:
     """A model of the rows that have text and language and aren't held out.
 
     Of each language, rows whose hashed id is below sample / (the language's rows) are taken: about sample rows, which
-    is the bound on what the driver gets, as WIDTH bits each. The label set is what a model holds anyway.
+    is the bound on what the driver gets, as WIDTH bits each. More than most_labels different labels are an error.
     """
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().take(most_labels + 1)}
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels in {lang_col}: give most_labels if they are languages")
     if not counts:
         return fit(np.zeros((0, WIDTH), np.uint8), [])
     share = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, sample / n)))[F.col(lang_col)]
@@ -109,25 +115,31 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(rows, [lang for lang, _ in got])
 
 
-def predicted(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
-    """Language and score (0 to 1, a softmax of the class scores) of each text; a text is read whole."""
+def predicted(texts: list[str | None], model: Model, claim: float | None = None) -> tuple[list[str], np.ndarray]:
+    """Language and score (0 to 1, a softmax of the class scores) of each text; a text is read whole. With a claim, a
+    text of EVIDENCE n-grams or more in which no class scores above the claim is UNKNOWN."""
     some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.labels else []
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     for at in range(0, len(some), 256):
         part = some[at : at + 256]
-        found = 4 * model.scores(np.array([presence(texts[i]) for i in part]))
+        rows = np.array([presence(texts[i]) for i in part])
+        raw = model.scores(rows)
+        known = np.full(len(part), True) if claim is None else (raw.max(axis=1) > claim) | (rows.sum(axis=1, dtype=np.int64) < EVIDENCE)
+        found = 4 * raw
         odds = np.exp(found - found.max(axis=1, keepdims=True))
-        scores[part] = (odds / odds.sum(axis=1, keepdims=True)).max(axis=1)
-        for i, c in zip(part, found.argmax(axis=1), strict=True):
-            names[i] = model.labels[c]
+        scores[part] = np.where(known, (odds / odds.sum(axis=1, keepdims=True)).max(axis=1), 0.0)
+        for i, c, k in zip(part, found.argmax(axis=1), known, strict=True):
+            if k:
+                names[i] = model.labels[c]
     return names, scores
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", claim: float | None = None) -> DataFrame:
     """docs with pred_col and score_col, which replace columns of those names. Only the text is looked at.
 
     A null text, or one without a letter, gets UNKNOWN and score 0, as does every text where the model has learned no
-    language. Rows keep all other columns; repeated rows come back repeated; an empty table gives no rows.
+    language. With a claim, so does a text that no class claims: a class's score goes from -1 to 1, and is above 0 where
+    its one-versus-rest decision is a yes. Rows keep all other columns; repeated rows come back repeated; an empty table gives no rows.
     """
     spark = prepared(docs.sparkSession)
     shared = spark.sparkContext.broadcast((model.labels, model.landmarks, model.weights))
@@ -136,7 +148,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Model(*shared.value)
         for batch in batches:
-            lang, score = predicted(batch["text"].tolist(), known)
+            lang, score = predicted(batch["text"].tolist(), known, claim)
             yield pd.DataFrame({"row": batch["row"], "text": batch["text"], "lang": lang, "score": score})
 
     others = F.struct(F.lit(0), *(F.col(f"`{c}`") for c in names if c != text_col)).alias("row")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -11,11 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, prepared
+from .common import cut, partitions, prepared, whole
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: Bands and hashes of each: a pair at LEAST shares no band with probability (1 - 0.8 ** 4) ** 14 = 0.0006.
 BANDS, DEPTH = 14, 4
+#: Rows of a bucket's block: a larger bucket meets by pairs of blocks, a task a pair.
+BLOCK = 2048
 U = np.uint64
 
 
@@ -50,12 +51,13 @@ def close(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def joined(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect what the close pairs connect; pairs that are connected already aren't compared, so a group
-    of near copies costs its size and not its square."""
+def joined(sets: list[np.ndarray], blocks: list[int]) -> list[tuple[int, int]]:
+    """Links that connect what the close pairs connect, of all pairs or, if there are two blocks, of those across them;
+    pairs that are connected already aren't compared, so a group of near copies costs its size and not its square."""
     group, members, out = list(range(len(sets))), {i: [i] for i in range(len(sets))}, []
-    for i in range(len(sets)):
-        for j in range(i + 1, len(sets)):
+    split = blocks.index(blocks[-1])  # blocks are sorted; of one block, all rows are on both sides
+    for i in range(split or len(sets)):
+        for j in range(split or i + 1, len(sets)):
             if group[i] != group[j] and close(sets[i], sets[j]):
                 out.append((i, j))
                 a, b = sorted((group[i], group[j]), key=lambda g: -len(members[g]))
@@ -68,9 +70,11 @@ def joined(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def links(docs: DataFrame, id_col: str, text_col: str = "text", size: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Links (u, v) that connect the rows of docs, by their distinct long ids, whose sets of shingles have a Jaccard
-    similarity of least or more. Equal sets are one; candidates alone meet with their texts, once a shared band."""
+    """Links (u, v) that connect the rows of docs, by their ids (equal ids: equal rows), whose sets of shingles have a
+    Jaccard similarity of least or more. Equal sets are one; candidates alone meet with their texts, once a shared band.
+    Null and empty texts have the empty set, and are one; an empty table gives no rows; other columns are ignored."""
     prepared(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,22 +82,26 @@ def links(docs: DataFrame, id_col: str, text_col: str = "text", size: int = SHIN
             sets = [shingles(t, size) for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "key": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "bands": [bands(s) for s in sets]})
 
-    made = cut(rows.mapInPandas(hashed, "id long, key binary, bands array<long>"))
+    made = cut(rows.mapInPandas(hashed, f"id {kind}, key binary, bands array<long>"))
     first = made.groupBy("key").agg(F.min(F.struct("id", "bands")).alias("first"))
-    copies = made.select("id", "key").join(first.select("key", F.col("first.id").alias("v")), "key").where("id <> v").select(F.col("id").alias("u"), "v")
+    copies = made.select("id", "key").join(first.select("key", F.col("first.id").alias("v")), "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
     each = first.select("first.id", F.posexplode("first.bands").alias("t", "b"))
     # Bands often bring the same rows together; of such buckets one is enough.
     shared = each.groupBy("t", "b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("n > 1")
-    shared = shared.groupBy("n", "who").agg(F.min(F.struct("t", "b")).alias("one")).select("one.*")
+    shared = shared.groupBy("n", "who").agg(F.min(F.struct("t", "b")).alias("one")).select("one.*", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     candidates = cut(each.join(shared, ["t", "b"]))
-    texts = rows.join(candidates.select("id").distinct(), "id", "left_semi")
-    met = candidates.join(texts, "id").repartition(partitions(docs), "t", "b").sortWithinPartitions("t", "b", "id")
+    placed = rows.join(candidates, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = placed.select("t", "b", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "text")
+    met = tiles.repartition(partitions(docs), "t", "b", "one", "two").sortWithinPartitions("t", "b", "one", "two", "block", "id")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each_row = ((r.t, r.b, r.id, r.text) for batch in batches for r in batch.itertuples(index=False))
-        for _, bucket in groupby(each_row, key=lambda r: r[:2]):
-            ids, sets = zip(*((r[2], shingles(r[3], size)) for r in bucket), strict=True)
-            if found := joined([*sets]):
-                yield pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["u", "v"])
-
-    return copies.unionByName(met.mapInPandas(compared, "u long, v long"))
+        for part in whole(batches, ["t", "b", "one", "two"], 1):
+            part = part[(part["id"] != part["id"].shift()).to_numpy()]
+            if len(part) > 1 and (part["one"].iloc[0] == part["two"].iloc[0] or part["block"].nunique() == 2):
+                ids = part["id"].tolist()
+                found = joined([shingles(t, size) for t in part["text"]], part["block"].tolist())
+                if found:
+                    yield pd.DataFrame([(ids[i], ids[j]) for i, j in found], columns=["u", "v"])
+
+    return copies.unionByName(met.mapInPandas(compared, f"u {kind}, v {kind}"))

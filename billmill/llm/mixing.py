@@ -58,9 +58,10 @@ def mix(docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id
     table = rates(docs, targets, source_col, size).select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.col("cdf").alias("mix_cdf"))
     table = cut(table)
     table = F.broadcast(table) if table.count() <= FEW else table
-    rows = docs.select(*(F.col(f"`{c}`") for c in names)).join(table, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    drawn = rows.withColumn("mix_u", uniform(id_col, seed=seed)).withColumn("mix_n", F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u"))))
+    doc = F.col("doc").getField  # all of docs' columns, so that their names can't meet those made here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc")).join(table, doc(source_col).eqNullSafe(F.col("mix_source")))
+    drawn = rows.withColumn("mix_u", uniform(doc(id_col).cast("string"), seed=seed)).withColumn("mix_n", F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u"))))
     copies = drawn.where("mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1)))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), F.col("mix_copy").cast("string"), F.lit(str(seed)), F.lit("order"))))
-    out = keyed.select("mix_copy", "mix_rate", "mix_key", *(F.col(f"`{c}`") for c in names))
+    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.coalesce(doc(id_col).cast("string"), F.lit("~")), F.col("mix_copy").cast("string"), F.lit(str(seed)), F.lit("order"))))
+    out = keyed.select("mix_copy", "mix_rate", "mix_key", *(doc(c).alias(c) for c in names))
     return out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
