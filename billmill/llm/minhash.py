@@ -83,7 +83,7 @@ def links(docs: DataFrame, id_col: str, text_col: str = "text", size: int = SHIN
             yield pd.DataFrame({"id": batch["id"], "key": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "bands": [bands(s) for s in sets]})
 
     made = cut(rows.mapInPandas(hashed, f"id {kind}, key binary, bands array<long>"))
-    first = made.groupBy("key").agg(F.min(F.struct("id", "bands")).alias("first"))
+    first = cut(made.groupBy("key").agg(F.min(F.struct("id", "bands")).alias("first")))
     copies = made.select("id", "key").join(first.select("key", F.col("first.id").alias("v")), "key").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
     each = first.select("first.id", F.posexplode("first.bands").alias("t", "b"))
     # Bands often bring the same rows together; of such buckets one is enough.

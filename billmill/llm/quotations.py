@@ -14,7 +14,7 @@ from .common import cut, prepared
 #: Marks of a quoted line, one > a level, with blanks before each; and the line that introduces a quotation.
 MARKS = r"^(?:[ \t]*>)+"
 INTRODUCES = r"(?i)^[ \t]*(?:on|am|le|el)\b.*(?:wrote|schrieb|a écrit|escribió)[^:]{0,80}:[ \t]*$"
-QUOTED = r"(?m)^[ \t]*>"
+QUOTED = r"(?:^|\n)[ \t]*>"
 
 
 def normalised(text: Column) -> Column:

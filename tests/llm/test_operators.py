@@ -48,9 +48,9 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     rows = odd_rows()
-    got = packing.pack(documents(spark, rows), public_tokenizers.path("byte_bpe_50k.tiktoken"), group_docs=9).collect()
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.pack(documents(spark, rows), public_tokenizers.path("byte_bpe_50k.tiktoken"), group_docs=9, added=added).collect()
     want = Counter()
     for i, text in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -340,8 +340,8 @@ def test_short_secrets(spark, tmp_path):
     from billmill.llm import queries
 
     key = "q7Zp3LmX9vTr2KdB8sWn4HfJ6yCg1RtE"
-    found = [key[:20], key[:23], "9F86D081884C7D659A2F", "9f86D081884c7D659a2FEAa0C55AD0", "83014927561938475620", "83014927561938475620471"]
-    plain = ["1" * 23, "abababababababab1212", "A" * 10 + "0" * 15, "some-hyphenated-words-2024", "123e4567-e89b-12d3-a456-426614174000", key[:19]]
+    found = ["qZpLmXvTrKdBsWnHfJyCgRtE", key[:20], key[:23], "9F86D081884C7D659A2F", "9f86D081884c7D659a2FEAa0C55AD0", "83014927561938475620", "83014927561938475620471"]
+    plain = ["getUserNameFromRequestContext", "AbstractSingletonProxyFactoryBean2", "1" * 23, "abababababababab1212", "A" * 10 + "0" * 15, "some-hyphenated-words-2024", "123e4567-e89b-12d3-a456-426614174000", key[:19]]
     documents(spark, [(i, f"see {w} here") for i, w in enumerate(found + plain)]).write.parquet(f"{tmp_path}/documents.parquet")
     by = {r.doc_id: r for r in queries.op6_secrets(spark, str(tmp_path)).collect()}
     assert [by[i].spans for i in range(len(found))] == [f"entropy:4:{4 + len(w)}" for w in found]
@@ -411,6 +411,30 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(df, langid.train(df.limit(0))).collect()} == {"und"}
 
 
+def test_language_is_close_to_exact_kernel_ridge(spark):
+    """The same kernel and weights without landmarks: ridge regression on all rows of the kernel matrix."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null").orderBy("doc_id").collect()
+    x = np.array([langid.presence(r.text) for r in rows])
+    unit = x / np.sqrt(np.maximum(1, x.sum(axis=1, dtype=np.int64)))[:, None]
+    train = np.array([zlib.crc32(str(r.doc_id).encode()) % 5 > 0 for r in rows])
+    names = sorted({r.lang for r in rows})
+    of = np.array([names.index(r.lang) for r in rows])
+    k, y = unit[train] @ unit[train].T, np.where(of[train][:, None] == np.arange(len(names)), 1.0, -1.0)
+    w = 1 / np.bincount(of[train])[of[train]]
+    w /= w.sum()
+    alpha = np.linalg.solve(w[:, None] * (k + 1) + langid.RIDGE / len(k) * np.eye(len(k)), w[:, None] * y)
+    exact = ((unit[~train] @ unit[train].T + 1) @ alpha).argmax(axis=1)
+    model = langid.fit(x[train], [names[i] for i in of[train]])
+    got = model.scores(x[~train]).argmax(axis=1)
+    assert (got == exact).mean() >= 0.98 and (got == of[~train]).mean() >= (exact == of[~train]).mean() - 0.02
+
+
+def test_labels_are_bounded(spark):
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        langid.train(df, most_labels=10)
+
+
 def test_language_ignores_labels_of_held_out_rows(spark):
     df = spark.createDataFrame([(i, f"the {i} and" if i % 2 else f"der {i} und", "en" if i % 2 else "de") for i in range(100)], "doc_id long, text string, lang string")
     held = langid.held_out(F.col("doc_id"))
@@ -482,6 +506,89 @@ def test_quotations(spark):
     assert quotations.conversations(df.limit(0)).count() == 0
 
 
+def squeezed(text):
+    return re.sub(r"\s+", " ", text.lower()).strip()
+
+
+def linked_by_force(rows):
+    """(conv, turn) -> (text, reply_to, root, depth, links), by comparing every passage with all that every message says."""
+    runs, clean = {}, {}
+    for c, t, text in rows:
+        parts = []
+        if any(re.match(r"[ \t]*>", line) for line in text.split("\n")):
+            for line in text.split("\n"):
+                marks = re.match(r"(?:[ \t]*>)*", line)[0]
+                level, body = marks.count(">"), line[len(marks) :].removeprefix(" ") if marks else line
+                if parts and parts[-1][0] == level:
+                    parts[-1][1].append(body)
+                else:
+                    parts.append((level, [body]))
+        runs[c, t] = [(level, "\n".join(lines)) for level, lines in parts]
+        clean[c, t] = "\n".join(b for level, b in runs[c, t] if not level).strip() if parts else text
+    pieces = lambda x: {squeezed(p) for p in (x, *re.split(r"\n(?:[ \t]*\n)+", x), *x.split("\n"))} - {""}
+    said = {k: set().union(*(pieces(x) for x in (clean[k], *(b for level, b in runs[k] if not level)))) for k in clean}
+    blocks = {}
+    for k, x in clean.items():
+        lines = [y for y in map(squeezed, x.split("\n")) if y]
+        blocks[k] = said[k] | {" ".join(lines[i:j]) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)}
+
+    def original(c, t, passage):
+        for known in (said, blocks):
+            near = [k for k in known if k[0] == c and k[1] < t and passage in known[k]]
+            far = [k for k in known if k[0] != c and passage in known[k]]
+            if near or far:
+                return max(near) if near else min(far)
+        return None, None
+
+    out = {}
+    for c, t, _ in sorted(rows):
+        links = [(level, *original(c, t, squeezed(b))) for level, b in runs[c, t] if level]
+        own = [(level, i, to) for i, (level, to_conv, to) in enumerate(links) if to_conv == c]
+        up = min(own)[2] if own else None
+        root, depth = (t, 0) if up is None else (out[c, up][2], out[c, up][3] + 1)
+        out[c, t] = (clean[c, t], up, root, depth, links)
+    return out
+
+
+def test_quotations_against_brute_force(spark):
+    rnd = random.Random(12)
+    words = ["ship", "Rate", "bags", "ok", "Monday", "price", "deal", "send"]
+    rows, n = [], 0
+    for c in range(6):
+        texts_ = []
+        for t in range(14):
+            parts = []
+            for _ in range(rnd.randrange(1, 4)):
+                kind = rnd.random()
+                if kind < 0.55 and texts_:
+                    lines = [x for x in rnd.choice(texts_ + [r[2] for r in rows[-3:]]).split("\n") if x.strip()]
+                    a = rnd.randrange(len(lines))
+                    parts += [f"{'' if x.startswith('>') else ' ' * rnd.randrange(2)}{'>' if x.lstrip().startswith('>') else '> '}{x.upper() if rnd.random() < 0.3 and '>' not in x else x}" for x in lines[a : a + rnd.randrange(1, 4)]]
+                elif kind < 0.62:
+                    n += 1
+                    parts.append(f"> nobody said {n}")
+                n += 1
+                parts += [f"{' '.join(rnd.choices(words, k=3))} {n if rnd.random() < 0.7 else ''}", *([""] if rnd.random() < 0.3 else []), *([" ".join(rnd.choices(words, k=4))] if rnd.random() < 0.5 else [])]
+            texts_.append("\n".join(parts))
+            rows.append((c, t, texts_[-1]))
+    want = linked_by_force(rows)
+    got = {(r.conv, r.turn): (r.text, r.reply_to, r.thread_root, r.reply_depth, [(x.level, x.conv, x.turn) for x in r.links]) for r in quotations.conversations(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    # Passages that no message says in one piece may still be linked by their parts, which the brute force leaves out.
+    same = [k for k in want if all(b == x for b, x in zip(want[k][4], got[k][4], strict=True))]
+    parted = [(k, b, x) for k in want for b, x in zip(want[k][4], got[k][4], strict=True) if b != x]
+    assert all(b[1] is None for _, b, _ in parted) and len(parted) < 0.1 * sum(len(v[4]) for v in want.values())
+    assert sum(x[1] is not None for v in want.values() for x in v[4]) > 60 and len(same) > 60
+    assert {k: got[k][0] for k in want} == {k: v[0] for k, v in want.items()}
+    if not parted:
+        assert got == want
+
+
+def test_quotes_begin_lines_at_line_feeds_only(spark):
+    rows = [(1, 0, "a\r> b"), (1, 1, "a\u2028> b"), (1, 2, "x\n> a\r> b")]
+    got = {r.turn: r for r in quotations.conversations(spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")).collect()}
+    assert got[0].text == "a\r> b" and got[1].text == "a\u2028> b" and got[2].text == "x" and got[2].n_quotes == 1
+
+
 def test_quotation_chains(spark):
     rows = [(1, 0, "u", "line 0")] + [(1, i, "u", f"> line {i - 1}\nline {i}") for i in range(1, 40)]
     got = {r.turn: r for r in quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
