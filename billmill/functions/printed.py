@@ -29,10 +29,6 @@ def figure(c: Column) -> Column:
     return F.when(text.contains("(-)") | text.startswith("-") | text.rlike(r"^\(.*\)$"), -value).otherwise(value)
 
 
-def percent(c: Column) -> Column:
-    return figure(F.replace(c, F.lit("%"), F.lit(" ")))
-
-
 def quantity(c: Column) -> Column:
     """(number, unit) of a figure with its unit: the first part that is a figure, the first other one with a letter."""
     parts = F.split(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), " ")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.bridge import financial_year
+
 # What may be uploaded, and how much of it.
 SUFFIXES = {".pdf": "application/pdf", ".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp"}
 LARGEST_MB = 32
@@ -61,18 +66,32 @@ def charge_totals(charges: DataFrame) -> DataFrame:
     )
 
 
-def edited(bills: DataFrame, edits: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+def edited(bills: DataFrame, edits: DataFrame, fields: list[str], cleaners: dict[str, Callable[[Column], Column]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(bills after edits, log of corrections). edits: id, field, value, in strings, one of a field; an edit that
-    changes nothing isn't logged, nor is one of a field that can't be edited."""
+    changes nothing isn't logged, nor is one of a field that can't be edited. Values are cleaned by their field's cleaner
+    (text that is only trimmed, if it has none); a bill whose date changes gets the year of the new one."""
     asked = edits.where(F.col("field").isin(*fields)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("asked"))
     both = bills.join(asked, "id", "left")
     named = lambda f: F.coalesce(F.array_contains(F.map_keys("asked"), f), F.lit(False))
-    new = lambda f: F.try_element_at("asked", F.lit(f))
     kinds = {f: bills.schema[f].dataType for f in fields}
-    after = both.withColumns({f: F.when(named(f), new(f).cast(kinds[f])).otherwise(F.col(f)) for f in fields}).drop("asked")
-    rows = F.array(*(F.when(named(f) & ~F.col(f).cast("string").eqNullSafe(new(f)), F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("before"), new(f).alias("after"))) for f in fields))
+    clean = lambda f: (cleaners or {}).get(f, lambda c: F.nullif(F.trim(c), F.lit("")))
+    both = both.withColumns({f"_new_{f}": clean(f)(F.try_element_at("asked", F.lit(f))).cast(kinds[f]) for f in fields})
+    new = lambda f: F.col(f"_new_{f}")
+    after = both.withColumns({f: F.when(named(f), new(f)).otherwise(F.col(f)) for f in fields}).drop("asked")
+    if "invoice_date" in fields and "financial_year" in bills.columns:
+        moved = named("invoice_date") & ~F.col("invoice_date").eqNullSafe(new("invoice_date"))
+        years = both.where(moved).select("id", financial_year(new("invoice_date")).alias("_fy"), F.lit(True).alias("_moved"))
+        after = after.join(years, "id", "left").withColumn("financial_year", F.when(F.col("_moved"), F.col("_fy")).otherwise(F.col("financial_year"))).drop("_fy", "_moved")
+    rows = F.array(*(F.when(named(f) & ~F.col(f).cast("string").eqNullSafe(new(f).cast("string")), F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("before"), new(f).cast("string").alias("after"))) for f in fields))
     log = both.where("asked is not null").select("id", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("id", "r.*")
-    return after, log
+    return after.select(*bills.columns), log
+
+
+def document_status(before: Column, event: Column) -> Column:
+    """A document's status after an event: what is being read, read, to be looked at, not readable, or to be tried again."""
+    moves = {"start": "processing", "read": "extracted", "flagged": "needs_review", "confirm": "confirmed", "error": "failed", "retry": "queued"}
+    to = reduce(lambda c, kv: c.when(event == kv[0], kv[1]), moves.items(), F.when(F.lit(False), ""))
+    return F.when(before == "confirmed", before).otherwise(F.coalesce(to, before))
 
 
 def confirmable(bills: DataFrame, flags: DataFrame, forced: Column | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.cleaning import name_key, name_light
+from ..functions.cleaning import alnum_upper, name_key, name_light
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -53,33 +53,39 @@ def closeness(a: tuple[str, str], b: tuple[str, str]) -> float:
 
 def exact_tiers(asked: DataFrame, parties: DataFrame, aliases: DataFrame) -> DataFrame:
     """asked (ask_id, name, gstin, state_code) with party_id and tier, the first that names one: taxpayer number,
-    alias, a name key that is unique, name key with state. A tier is one join with one row a key."""
-    one = lambda df, keys: df.groupBy(*keys).agg(F.min("party_id").alias("party_id"), F.countDistinct("party_id").alias("n"))
-    keyed = parties.withColumn("key", name_key(F.col("legal_name")))
-    a = asked.withColumn("key", name_key(F.col("name")))
-    g = one(parties.where("gstin is not null"), ["gstin"]).select(F.col("gstin").alias("g"), F.col("party_id").alias("by_gstin"))
-    al = one(aliases, ["alias"]).select(F.col("alias").alias("a"), F.col("party_id").alias("by_alias"))
-    nm = one(keyed, ["key"]).where("n = 1").select(F.col("key").alias("k"), F.col("party_id").alias("by_name"))
-    ns = one(keyed.where("state_code is not null"), ["key", "state_code"]).select(F.col("key").alias("k2"), F.col("state_code").alias("s2"), F.col("party_id").alias("by_state"))
-    out = a.join(g, F.col("gstin") == F.col("g"), "left").join(al, F.col("key") == F.col("a"), "left").join(nm, F.col("key") == F.col("k"), "left").join(ns, (F.col("key") == F.col("k2")) & (F.col("state_code") == F.col("s2")), "left")
+    alias, a name key that one party has, name key and state that one party has. A tier is one join with one row a key;
+    a name without a key (null, or a legal form alone) has no tier but the first."""
+    one = lambda df, key, *more: df.groupBy(F.col(key).alias(f"_{key}"), *more).agg(F.min("party_id").alias("_id"), F.countDistinct("party_id").alias("_n"))
+    key = lambda c: F.nullif(name_key(F.col(c)), F.lit(""))
+    keyed = parties.withColumns({"key": key("legal_name"), "number": alnum_upper(F.col("gstin"))})
+    a = asked.withColumns({"key": key("name"), "number": alnum_upper(F.col("gstin"))})
+    numbers = one(keyed.where("number is not null"), "number").select("_number", F.col("_id").alias("by_gstin"))
+    known_as = one(aliases.withColumn("key", key("alias")).where("key is not null"), "key").select("_key", F.col("_id").alias("by_alias"))
+    names = one(keyed.where("key is not null"), "key").where("_n = 1").select("_key", F.col("_id").alias("by_name"))
+    placed = one(keyed.where("key is not null and state_code is not null"), "key", F.col("state_code").alias("_state")).where("_n = 1").select("_key", "_state", F.col("_id").alias("by_state"))
+    out = a.join(numbers, F.col("number") == F.col("_number"), "left")
+    for tier in (known_as, names):
+        out = out.join(tier, F.col("key") == F.col("_key"), "left").drop("_key")
+    out = out.join(placed, (F.col("key") == F.col("_key")) & (F.col("state_code") == F.col("_state")), "left")
     tiers = ["by_gstin", "by_alias", "by_name", "by_state"]
     tier = F.coalesce(*(F.when(F.col(t).isNotNull(), F.lit(t)) for t in tiers))
     return out.select("ask_id", F.coalesce(*tiers).alias("party_id"), tier.alias("tier"))
 
 
-def fuzzy(asked: DataFrame, known: DataFrame, least: float = 88.0) -> DataFrame:
+def fuzzy(asked: DataFrame, known: DataFrame, least: float = 88.0, keys: tuple[Callable[[Column], Column], ...] = (name_key, name_light), score_of: Callable[[tuple, tuple], float] = closeness) -> DataFrame:
     """(ask_id, party_id, score): the closest known name of least or more, ties to the smaller id.
 
     Both sides are (id, name, block). A name meets the names of its block and those without one; without a block it
     meets all. Each spelling of a block is scored once, against the spellings that share a word of the key with it, or
     are of a length, without blanks or as a set of words, that allows least: no other can reach it. Lengths meet by
-    bands, as in snapped(); what has no key (only a legal form, or nothing) matches nothing.
+    bands, as in snapped(); what has no key (only a legal form, or nothing) matches nothing. score_of gets (key, light)
+    of either side and has to be 0 to 100, and at most what the keys' words or lengths allow.
     """
     shortest = least / (200 - least)
     band, reach = lambda n: F.floor(F.log(n) / math.log(1.25)), math.ceil(-math.log(shortest) / math.log(1.25))
 
     def spellings(df: DataFrame) -> DataFrame:
-        keyed = df.withColumns({"key": name_key(F.col("name")), "light": name_light(F.col("name"))}).where("key <> ''")
+        keyed = df.withColumns({"key": keys[0](F.col("name")), "light": keys[1](F.col("name"))}).where("key <> ''")
         return keyed.withColumns({"words": F.array_distinct(F.filter(F.split("key", " "), lambda w: w != "")), "tight": F.length(F.regexp_replace("key", " ", ""))}).withColumn("set", F.length(F.array_join("words", " ")))
 
     def meets(df: DataFrame, where: Column, spread: int) -> DataFrame:
@@ -99,7 +105,7 @@ def fuzzy(asked: DataFrame, known: DataFrame, least: float = 88.0) -> DataFrame:
     pairs = pairs.select("name", "block", "key", "light", "party_id", "other_key", "other_light").distinct()
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = lru_cache(1 << 16)(closeness)
+        score = lru_cache(1 << 16)(score_of)
         for b in batches:
             yield b[["name", "block", "party_id"]].assign(score=[score((x, n), (y, o)) for x, n, y, o in zip(b["key"], b["light"], b["other_key"], b["other_light"], strict=True)])
 
@@ -108,25 +114,14 @@ def fuzzy(asked: DataFrame, known: DataFrame, least: float = 88.0) -> DataFrame:
     return asked.join(best, (F.col("name") == F.col("_name")) & F.col("block").eqNullSafe(F.col("_block"))).groupBy("ask_id").agg(F.max_by("party_id", F.struct("score", -F.col("party_id"))).alias("party_id"), F.max("score").alias("score"))
 
 
-def snap(heard: str, known: list[str], least: float = 65.0, margin: float = 6.0) -> str:
-    """The known name that heard stands for, if it is close, and closer than the next one by the margin."""
-    norm = lambda s: "".join(c for c in s.lower() if c.isalnum())
-    if len(norm(heard)) < 3:
-        return heard
-    scored = sorted(((ratio(norm(heard), norm(k)), k) for k in known), reverse=True)
-    if scored and norm(scored[0][1]) == norm(heard):
-        return scored[0][1]
-    clear = scored and scored[0][0] >= least and (len(scored) < 2 or scored[0][0] - scored[1][0] >= margin)
-    return scored[0][1] if clear else heard
-
-
 def snapped(asked: DataFrame, known: DataFrame, least: float = 65.0, margin: float = 6.0) -> DataFrame:
-    """asked (ask_id, heard) with name: the known name (name) that heard stands for, by the rule of snap(), else heard.
+    """asked (ask_id, heard) with name: the known name (name) that heard stands for, if it is close, and closer than the
+    next one by the margin; else heard. Latin letters and digits count, whatever their case; three of them at least.
 
     Each spelling is scored once, and only against names of a length that allows a score of least - margin; others
     can neither win nor stand in a winner's way (least has to be above margin). Lengths meet by bands, 1.25 times as long each.
     """
-    tight = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    tight = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     shortest = (least - margin) / (200 - (least - margin))
     band, reach = lambda c: F.floor(F.log(F.length(c)) / math.log(1.25)), math.ceil(-math.log(shortest) / math.log(1.25))
     said = asked.select("heard").where("heard is not null").distinct().withColumn("h", tight(F.col("heard"))).where(F.length("h") >= 3)
@@ -145,11 +140,6 @@ def snapped(asked: DataFrame, known: DataFrame, least: float = 65.0, margin: flo
     return asked.join(clear, "heard", "left").withColumn("name", F.coalesce("_name", "heard")).drop("_name")
 
 
-def merged(facts: DataFrame, keep: int, drop: int, columns: list[str]) -> DataFrame:
-    """facts with one party's keys replaced by another's."""
-    return facts.withColumns({c: F.when(F.col(c) == drop, F.lit(keep)).otherwise(F.col(c)) for c in columns})
-
-
 def first_of_content(docs: DataFrame, id_col: str, content: str) -> DataFrame:
     """The first row of each content hash, and how many have it."""
     return docs.groupBy(F.sha2(content, 256).alias("sha256")).agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"))

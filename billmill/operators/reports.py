@@ -87,6 +87,11 @@ def corrections(edits: DataFrame, limit: int = 50) -> DataFrame:
     return top.select(F.coalesce(F.nullif(F.col("hint"), F.lit("")), F.lit("unknown")).alias("hint"), "field", "n")
 
 
+def failed_documents(documents: DataFrame, limit: int = 200) -> DataFrame:
+    """What couldn't be read at all, newest first: the other half of the queue."""
+    return documents.where("status = 'failed'").orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
 def review_queue(bills: DataFrame, flags: DataFrame, limit: int = 200) -> DataFrame:
     """Bills to look at: those without a confidence first, then by rising confidence; with counts of open flags."""
     top = bills.where("needs_review").orderBy(F.asc_nulls_first("confidence"), F.desc("id")).limit(limit)
@@ -95,14 +100,15 @@ def review_queue(bills: DataFrame, flags: DataFrame, limit: int = 200) -> DataFr
 
 
 def concentration(bills: DataFrame, parties: DataFrame, top: int = 4) -> DataFrame:
-    """Shares of the largest sellers and of all others together."""
-    sums = counted(bills).where("seller_id is not null").groupBy("seller_id").agg(F.sum("grand_total").alias("g")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("g"), "seller_id")))
-    total = F.sum(F.sum("g")).over(Window.partitionBy())
-    ranked = sums.join(parties.select(F.col("party_id").alias("seller_id"), "legal_name"), "seller_id", "left")
-    name = F.when(F.col("rank") <= top, F.col("legal_name")).otherwise("Everyone else")
-    groups = ranked.groupBy(F.least("rank", F.lit(top + 1)).alias("rank"), name.alias("name")).agg(F.sum("g").alias("g"), total.alias("all"))
+    """Shares of the largest sellers and of all others together: the few largest are found first, so only they are ranked."""
+    sums = counted(bills).where("seller_id is not null").groupBy("seller_id").agg(F.sum("grand_total").alias("g"))
+    largest = sums.orderBy(F.desc("g"), "seller_id").limit(top).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("g"), "seller_id")))
+    named = largest.join(parties.select(F.col("party_id").alias("seller_id"), "legal_name"), "seller_id", "left").select("rank", F.col("legal_name").alias("name"), "g")
+    total = sums.agg(F.sum("g").alias("all"), F.count("*").alias("n"))
+    rest = total.crossJoin(largest.agg(F.sum("g").alias("top"))).where(F.col("n") > top).select(F.lit(top + 1).alias("rank"), F.lit("Everyone else").alias("name"), (F.col("all") - F.col("top")).alias("g"))
     share = F.bround((F.col("g").cast("decimal(30,2)") * 100 / F.col("all").cast("decimal(24,2)")).cast("decimal(38,8)"), 1)
-    return groups.select(F.col("rank").cast("long").alias("rank"), "name", number("g").alias("turnover"), share.cast("double").alias("share"))
+    rows = named.unionByName(rest).crossJoin(total.select("all"))  # five rows and one
+    return rows.select(F.col("rank").cast("long").alias("rank"), "name", number("g").alias("turnover"), share.cast("double").alias("share"))
 
 
 def kpis(bills: DataFrame, entries: DataFrame) -> DataFrame:
@@ -142,28 +148,26 @@ def search(bills: DataFrame, parties: DataFrame, q: str) -> DataFrame:
 
 
 def party_search(parties: DataFrame, role: str, q: str, limit: int = 50) -> DataFrame:
+    """Parties of a role with q in their name, number or city, by name."""
     like = f"%{q.strip()}%"
-    return parties.where((F.col("role") == role) & (F.col("legal_name").ilike(like) | F.col("city").ilike(like))).orderBy("legal_name", "party_id").limit(limit)
-
-
-def export_invoices(bills: DataFrame, parties: DataFrame) -> DataFrame:
-    """Bills with the names of their four parties, in date order, missing dates last."""
-    out = bills
-    for r in ROLES:
-        out = out.join(parties.select(F.col("party_id").alias(f"{r}_key"), F.col("legal_name").alias(r)), F.col(f"{r}_id") == F.col(f"{r}_key"), "left")
-    names = ["id", "invoice_number", "invoice_date", "financial_year", "status", "seller", "buyer", "transporter"]
-    return out.select(*names, F.coalesce("broker", "broker_name_raw").alias("broker"), *(F.col(c).cast("double").alias(c) for c in ("taxable_value", "cgst_amount", "sgst_amount", "igst_amount", "grand_total"))).orderBy(F.asc_nulls_last("invoice_date"), "id")
-
-
-def export_lines(lines: DataFrame, bills: DataFrame, products: DataFrame) -> DataFrame:
-    rows = counted(bills).select("id", "invoice_number", "invoice_date").join(lines, F.col("id") == F.col("invoice_id")).join(products, "product_id", "left")
-    return rows.select("id", "invoice_number", "invoice_date", "line_no", "name", "hsn", *(F.col(c).cast("double").alias(c) for c in ("quantity", "taxable_amount", "tax_amount")))
-
-
-def holdout(rows: DataFrame, id_col: str) -> DataFrame:
-    """A training and a test part: the first 85 % by id, one row at least, train."""
-    ranked = rows.select(id_col, F.row_number().over(Window.orderBy(id_col)).alias("n"), F.count("*").over(Window.partitionBy()).alias("all"))
-    return ranked.select(id_col, F.when(F.col("n") <= F.greatest(F.lit(1), F.floor(F.col("all") * 85 / 100)), "train").otherwise("test").alias("part"))
+    fits = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).ilike(like), F.lit(False)) for c in ("legal_name", "gstin", "city") if c in parties.columns))
+    return parties.where((F.col("role") == role) & fits).orderBy("legal_name", "party_id").limit(limit)
+
+
+def holdout(rows: DataFrame, id_col: str, share: float = 0.85) -> DataFrame:
+    """A training and a test part: the first 85 % by id, one row at least, train. Rows are sorted into ranges of ids; a
+    range is numbered from the count of those before it, which are as many numbers as partitions."""
+    ranged = rows.select(id_col).repartitionByRange(id_col).sortWithinPartitions(id_col).withColumn("_p", F.spark_partition_id())
+    ranged = ranged.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}
+    before, starts = 0, {}
+    for part in sorted(sizes):
+        starts[part], before = before, before + sizes[part]
+    if not starts:
+        return rows.select(id_col, F.lit("train").alias("part"))
+    train = max(1, int(before * round(share * 100)) // 100)
+    first = F.create_map(*(F.lit(x) for kv in starts.items() for x in kv))[F.col("_p")]
+    return ranged.select(id_col, F.when(first + F.col("_i") < train, "train").otherwise("test").alias("part"))
 
 
 def terms(rows: DataFrame, columns: list[str], limit: int | None = 40) -> DataFrame:

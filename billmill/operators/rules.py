@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.cleaning import gstin_problems, hsn, words_value
+from ..functions.cleaning import gstin_problems, hsn, words_amount
 
 ERROR, WARNING = "error", "warning"
 #: Rupees that a total and a line may be off.
@@ -93,7 +93,7 @@ def tax_rows(rows: DataFrame, bills: DataFrame) -> DataFrame:
 
 
 def words(bills: DataFrame) -> DataFrame:
-    return emitted(bills, [flag(F.abs(words_value(F.col("amount_in_words")).cast("decimal(30,2)") - F.col("grand_total")) > TOLERANCE, "amount_in_words_mismatch", ERROR, "amount_in_words")])
+    return emitted(bills, [flag(F.abs(words_amount(F.col("amount_in_words")).cast("decimal(30,2)") - F.col("grand_total")) > TOLERANCE, "amount_in_words_mismatch", ERROR, "amount_in_words")])
 
 
 def supply(bills: DataFrame) -> DataFrame:

@@ -19,11 +19,17 @@ from ..functions.cleaning import NUMBER_WORDS, SCALES
 from .matching import ratio
 
 # The words of spoken deals, in Latin letters.
-UNITS = {"BAGS": "bori bora boris poti goni bag bags katta", "KGS": "kg kgs kilo kilos kilogram", "QTL": "quintal quintals qtl", "MT": "ton tons tonne mt", "BOX": "peti petti box boxes carton", "PCS": "pcs piece pieces nag"}
+UNITS = {
+    "bori": "BAGS", "bora": "BAGS", "boris": "BAGS", "poti": "BAGS", "goni": "BAGS", "bag": "BAGS", "bags": "BAGS", "katta": "BAGS", "kg": "KGS", "kgs": "KGS", "kilo": "KGS", "kilos": "KGS", "kilogram": "KGS", "quintal": "QTL", "quintals": "QTL", "qtl": "QTL",
+    "ton": "MT", "tons": "MT", "tonne": "MT", "mt": "MT", "peti": "BOX", "petti": "BOX", "box": "BOX", "boxes": "BOX", "carton": "BOX", "pcs": "PCS", "piece": "PCS", "pieces": "PCS", "nag": "PCS",
+}
 GRAMMAR = {
-    "s": "se si kadun kadoon pasethi ne", "b": "ko la", "F": "from by", "T": "to", "k": "sold bought becha liya diya",
-    "r": "mein me rate bhav bhaav darane dar rupees rupee rs rs. per @ ke ka ki price at prati each",
-}
+    "se": "s", "si": "s", "kadun": "s", "kadoon": "s", "pasethi": "s", "ne": "s", "ko": "b", "la": "b", "from": "F", "by": "F", "to": "T", "sold": "k", "bought": "k", "becha": "k", "liya": "k", "diya": "k",
+    "mein": "r", "me": "r", "rate": "r", "bhav": "r", "bhaav": "r", "darane": "r", "dar": "r", "rupees": "r", "rupee": "r", "rs": "r", "rs.": "r", "per": "r", "@": "r", "ke": "r", "ka": "r", "ki": "r", "price": "r", "at": "r", "prati": "r", "each": "r",
+    "से": "s", "सी": "s", "कडून": "s", "कदुन": "s", "પાસેથી": "s", "ने": "s", "ને": "s", "को": "b", "ला": "b", "में": "r", "रेट": "r", "भाव": "r", "दर": "r", "रुपये": "r", "का": "r", "के": "r", "की": "r", "ભાવ": "r", "રૂપિયા": "r", "बेचा": "k", "लिया": "k", "दिया": "k",
+}
+#: Marks the seller in Hindi and Marathi, but the buyer in Gujarati: where no other word marks a buyer, it does.
+AMBIGUOUS = ("ne", "ने", "ને")
 FILLERS = "haan han ha haa ji achha accha acha theek thik hai he tha thi bas matlab yaar arre are suno sun sunno dekho dekh bol bolo boliye likh likho lo karo kar kro note entry kya na nahi abhi chalo sahi badhiya chalega daal daalo bhai sir madam aur phir fir toh wo woh ye yeh ekdum zara jara okay ok so um uh er erm hmm well right yeah yes no please thanks thank done write put record book add make just actually basically like now then and the a an of is it listen this that here there down up let lets also second minute wait"
 PHRASES = "likh do|kar do|daal do|ek minute|hold on"
 HINDI = {
@@ -32,11 +38,26 @@ HINDI = {
     "pannas": 50, "saath": 60, "sath": 60, "sattar": 70, "assi": 80, "nabbe": 90, "navvad": 90,
 }
 HINDI_SCALES = {"hundred": 100, "sau": 100, "so": 100, "she": 100, "hazaar": 1000, "hazar": 1000}
+# Numbers and units in Devanagari and Gujarati letters; those that aren't here are spelled in Latin ones.
+INDIC = {
+    "एक": 1, "दो": 2, "दोन": 2, "तीन": 3, "चार": 4, "पांच": 5, "पाँच": 5, "पाच": 5, "छह": 6, "छः": 6, "सहा": 6, "सात": 7, "आठ": 8, "नौ": 9, "नऊ": 9, "दस": 10, "दहा": 10, "ग्यारह": 11, "बारह": 12, "तेरह": 13, "चौदह": 14, "पंद्रह": 15, "सोलह": 16, "सत्रह": 17, "अठारह": 18, "उन्नीस": 19,
+    "बीस": 20, "वीस": 20, "तीस": 30, "चालीस": 40, "चाळीस": 40, "पचास": 50, "पन्नास": 50, "साठ": 60, "सत्तर": 70, "अस्सी": 80, "नब्बे": 90, "नव्वद": 90,
+    "બે": 2, "ત્રણ": 3, "ચાર": 4, "પાંચ": 5, "છ": 6, "સાત": 7, "આઠ": 8, "નવ": 9, "દસ": 10, "વીસ": 20, "ત્રીસ": 30, "ચાલીસ": 40, "પચાસ": 50, "સાઠ": 60, "સિત્તેર": 70, "એંસી": 80, "નેવું": 90,
+}
+INDIC_SCALES = {"सौ": 100, "शे": 100, "हज़ार": 1000, "हजार": 1000, "लाख": 100_000, "સો": 100, "હજાર": 1000, "લાખ": 100_000}
+INDIC_UNITS = {"बोरी": "BAGS", "पोती": "BAGS", "गोणी": "BAGS", "किलो": "KGS", "क्विंटल": "QTL", "टन": "MT", "पेटी": "BOX", "બોરી": "BAGS", "કિલો": "KGS", "ક્વિન્ટલ": "QTL", "પેટી": "BOX"}
+INDIC_GOODS = {"काजू": "Cashew", "बादाम": "Almond", "अखरोट": "Walnut", "पिस्ता": "Pistachio", "किशमिश": "Raisin", "हल्दी": "Turmeric", "हळद": "Turmeric", "जीरा": "Cumin", "इलायची": "Cardamom", "કાજુ": "Cashew", "બદામ": "Almond", "હળદર": "Turmeric", "જીરું": "Cumin"}
+PAIRS = {"kali mirch": "Black pepper", "काली मिर्च": "Black pepper"}
+QUALIFIERS = {
+    "sabut": "whole", "साबुत": "whole", "tukda": "split", "टुकड़ा": "split", "dal": "split", "gola": "ball", "गोला": "ball", "chota": "small", "छोटा": "small", "lahan": "small",
+    "bada": "large", "बड़ा": "large", "mota": "large", "मोटा": "large", "naya": "new", "नया": "new", "juna": "old", "पुराना": "old",
+}
 GOODS = {"cashew": "Cashew", "almond": "Almond", "walnut": "Walnut", "pistachio": "Pistachio", "raisin": "Raisin", "fig": "Fig", "turmeric": "Turmeric", "cumin": "Cumin", "cardamom": "Cardamom", "kaju": "Cashew", "badam": "Almond", "akhrot": "Walnut", "pista": "Pistachio", "kishmish": "Raisin", "khajur": "Dates", "anjeer": "Fig", "haldi": "Turmeric", "halad": "Turmeric", "jeera": "Cumin", "elaichi": "Cardamom"}
 #: Least likeness of a misheard word after a number to a unit; words of a party at most.
 UNIT_LIKE, PARTY_WORDS = 62.0, 3
 FIELDS = {"seller": "string", "buyer": "string", "goods": "string", "quantity": "double", "uom": "string", "rate": "double", "leftover": "string"}
 CODE = r"[A-Za-z]{1,3}\d{1,4}"
+DIGITS = str.maketrans("०१२३४५६७८९૦૧૨૩૪૫૬૭૮૯", "01234567890123456789")
 MARKED = re.compile(r"(?P<back>(?:(?:ww|cw|w|c)?[wW]|[cC]))(?P<after>[sb])|(?P<before>[FT])(?=(?P<fore>[cC]|W|w(?:[cC]|W|w[cCwW]?)?))")
 NUMBER = re.compile(r"[de]e{0,2}|n+")
 
@@ -45,12 +66,27 @@ NUMBER = re.compile(r"[de]e{0,2}|n+")
 class Lexicon:
     """Word tables; those of another language or script can take their place."""
 
-    units: dict[str, str] = field(default_factory=lambda: {w: u for u, ws in UNITS.items() for w in ws.split()})
-    grammar: dict[str, str] = field(default_factory=lambda: {w: k for k, ws in GRAMMAR.items() for w in ws.split()})
+    units: dict[str, str] = field(default_factory=lambda: UNITS | INDIC_UNITS)
+    grammar: dict[str, str] = field(default_factory=lambda: dict(GRAMMAR))
+    ambiguous: frozenset[str] = frozenset(AMBIGUOUS)
     fillers: frozenset[str] = frozenset(FILLERS.split())
-    numbers: dict[str, int] = field(default_factory=lambda: NUMBER_WORDS | HINDI)
-    scales: dict[str, int] = field(default_factory=lambda: SCALES | HINDI_SCALES)
-    goods: dict[str, str] = field(default_factory=lambda: dict(GOODS))
+    numbers: dict[str, int] = field(default_factory=lambda: NUMBER_WORDS | HINDI | INDIC)
+    scales: dict[str, int] = field(default_factory=lambda: SCALES | HINDI_SCALES | INDIC_SCALES)
+    goods: dict[str, str] = field(default_factory=lambda: QUALIFIERS | GOODS | INDIC_GOODS)
+    pairs: dict[str, str] = field(default_factory=lambda: dict(PAIRS))
+
+    def term(self, said: str) -> str:
+        """Goods in English: terms of two words first, then single ones; a word that isn't known stays as it is."""
+        words, out = said.split(), []
+        while words:
+            pair = self.pairs.get(" ".join(map(bare, words[:2])))
+            out.append(pair or self.goods.get(bare(words[0]), words[0]))
+            words = words[2 if pair else 1 :]
+        return " ".join(out)
+
+    def is_known(self, said: str | None) -> bool:
+        """Whether any word of it is of the trade."""
+        return any(bare(w) in self.goods for w in (said or "").split())
 
     def known(self, word: str) -> bool:
         return any(word in t for t in (self.units, self.grammar, self.numbers, self.scales))
@@ -80,7 +116,7 @@ def letter(token: str, lex: Lexicon) -> str:
         return "n"
     if word in lex.units or word in lex.grammar:
         return "u" if word in lex.units else lex.grammar[word]
-    plain = any(map(str.isalnum, word)) and not any(map(str.isdigit, word))
+    plain = any(map(str.isalnum, word)) and not any(map(str.isdigit, word))  # marks within Indic words are no letters
     return ("W" if ends else "w") if plain else "."
 
 
@@ -123,8 +159,10 @@ def name(words: list[str]) -> str | None:
 
 def read(sentence: str | None, lex: Lexicon) -> dict[str, object]:
     """The columns of a deal; a part that wasn't heard is null, as all are for a null or empty sentence."""
-    words = tokens(sentence or "", lex)
+    words = tokens((sentence or "").translate(DIGITS), lex)
     tags = "".join(letter(t, lex) for t in words)
+    if "b" not in tags:
+        tags = "".join("b" if bare(t) in lex.ambiguous else tag for t, tag in zip(words, tags, strict=True))
     out: dict[str, object] = dict.fromkeys(FIELDS)
     left = list(tags)  # what no column has claimed
 
@@ -183,11 +221,32 @@ def read(sentence: str | None, lex: Lexicon) -> dict[str, object]:
     goods = next((r for r in free if r[1] > pivot), free[0] if free else None)
     if goods:
         heard = name(words[slice(*goods)])
-        claim("goods", *goods, " ".join(lex.goods.get(w.lower(), w) for w in (heard or "").split()) or None)
+        claim("goods", *goods, lex.term(heard or "") or None)
     out["leftover"] = " ".join(w for w, t in zip(words, left, strict=True) if t in "wWcCdenu") or None
     return out
 
 
+ROLES = {"c": "code", "C": "code", "d": "number", "e": "number", "n": "number", "u": "unit", "s": "marks a seller", "b": "marks a buyer", "F": "before a seller", "T": "before a buyer", "r": "beside a rate", "k": "grammar", "w": "name or goods", "W": "name or goods", ".": "nothing"}
+
+
+def explained(sentences: DataFrame, text: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
+    """sentences with a row a word that counts: place (from 1), word and what it was taken for."""
+    lex = lexicon or Lexicon()
+
+    @F.pandas_udf("array<struct<place:int,word:string,role:string>>")
+    def roles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for t in batch:
+                words = tokens((t or "").translate(DIGITS), lex)
+                tags = [letter(w, lex) for w in words]
+                tags = tags if "b" in tags else ["b" if bare(w) in lex.ambiguous else x for w, x in zip(words, tags, strict=True)]
+                out.append([{"place": i, "word": w, "role": ROLES[x]} for i, (w, x) in enumerate(zip(words, tags, strict=True), 1)])
+            yield pd.Series(out, index=batch.index)
+
+    return sentences.withColumn("_w", F.explode(roles(F.col(text)))).select(*(c for c in sentences.columns if c not in ("place", "word", "role")), "_w.*")
+
+
 def deals(sentences: DataFrame, text: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
     """sentences with the columns of FIELDS, which replace others of those names; reading is on Arrow batches."""
     lex = lexicon or Lexicon()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import NUMBER_WORDS, SCALES, indian, lookup, words_value
@@ -35,9 +35,45 @@ def plain(n: Column) -> Column:
     return F.regexp_replace(indian(n.cast("decimal(20,2)")), r"\.00$", "")
 
 
+# What one and several of a unit are called.
+SINGULAR = {"BAGS": "bag", "KGS": "kg", "QTL": "quintal", "MT": "tonne", "BOX": "box", "PCS": "piece"}
+PLURAL = {"BAGS": "bags", "KGS": "kg", "QTL": "quintal", "MT": "tonnes", "BOX": "boxes", "PCS": "pieces"}
+
+
 def read_back(seller: Column, buyer: Column, goods: Column, quantity: Column, unit: Column, rate: Column) -> Column:
-    """The deal as a sentence; what wasn't heard is left out."""
-    return F.concat_ws(" ", F.concat_ws(" ", seller, F.lit("sells")), F.concat_ws(" ", F.lit("to"), buyer), F.concat_ws(" ", plain(quantity), F.lower(unit)), F.when(goods.isNotNull(), F.concat(F.lit("of "), goods)), F.when(rate.isNotNull(), F.concat(F.lit("at "), plain(rate))))
+    """The deal as a sentence with what it comes to; what wasn't heard is left out, null if nothing was."""
+    many = F.coalesce(lookup(PLURAL)[unit], F.lower(F.coalesce(unit, F.lit(""))))
+    sides = F.when(seller.isNotNull() & buyer.isNotNull(), F.concat(seller, F.lit(" sold "), buyer)).when(seller.isNotNull(), F.concat(seller, F.lit(" sold"))).when(buyer.isNotNull(), F.concat(F.lit("Sold to "), buyer)).otherwise("Sold")
+    amount = F.trim(F.concat(plain(quantity), F.lit(" "), many))
+    what = F.when(quantity.isNotNull(), F.concat(F.lit("of "), goods)).otherwise(goods)
+    price = F.concat(F.lit("at "), plain(rate), F.coalesce(F.concat(F.lit(" per "), lookup(SINGULAR)[unit]), F.lit("")))
+    total = F.concat(F.lit(" — "), plain(value(quantity, rate)))
+    heard = F.coalesce(seller, buyer, goods, quantity.cast("string"), rate.cast("string")).isNotNull()
+    return F.when(heard, F.concat(F.concat_ws(" ", sides, amount, what, price), F.coalesce(total, F.lit("")), F.lit(".")))
+
+
+def tidied(said: Column) -> Column:
+    """A name as a deal keeps it: single spaces, no points or commas about it, null if nothing is left."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(said, r"(?U)\s+", " "), "^[ .,]+|[ .,]+$", ""), F.lit(""))
+
+
+def figure(said: Column) -> Column:
+    """A quantity or a rate as a deal keeps it, whatever signs are about its digits; null if there is none."""
+    return F.regexp_replace(said, r"[^\d.\-]", "").try_cast("double")
+
+
+def saved(deals: DataFrame, today: str) -> DataFrame:
+    """Deals as they are stored: names tidied, figures read, the value of both, and a date."""
+    out = deals.withColumns({f: tidied(F.col(f)) for f in ("seller", "buyer", "goods")} | {f: figure(F.col(f)) for f in ("quantity", "rate")})
+    return out.withColumns({"value": value(F.col("quantity"), F.col("rate")), "traded_on": F.coalesce(F.col("traded_on").cast("date"), F.lit(today).cast("date"))})
+
+
+def fitting(terms: DataFrame, budget: int, order: str = "n", term: str = "term") -> DataFrame:
+    """The terms, in order, that fit a prompt of so many characters; the first that doesn't ends it. A term takes two
+    characters at least, so more than budget / 2 rows are never looked at."""
+    top = terms.orderBy(order, term).limit(budget // 2 + 1)
+    so_far = F.sum(F.length(term) + 1).over(Window.orderBy(order, term))
+    return top.withColumn("used", so_far.cast("long")).where(F.col("used") <= budget)
 
 
 def label(heard: Column, said: Column) -> Column:

@@ -5,6 +5,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
+from billmill.functions import cleaning as C
 from billmill.functions import printed as P
 
 
@@ -15,7 +16,7 @@ def values(spark, column, cases, kind="string"):
 
 def test_figures(spark):
     assert values(spark, P.figure, ["4,500.000", "(-)1.5", "-2", "(3)", "1.2.3", "KGS", "", None, "₹ 12"]) == [D("4500"), D("-1.5"), D(-2), D(-3), None, None, None, None, D(12)]
-    assert values(spark, P.percent, ["2.5 %", "%", None]) == [D("2.5"), None, None]
+    assert values(spark, C.percent, ["2.5 %", "%", None]) == [D("2.5"), None, None]
     assert [tuple(q) for q in values(spark, P.quantity, ["4,500.000 KGS", "kgs 12", "12", "bags", "", "B2 bags"])] == [(4500, "KGS"), (12, "KGS"), (12, None), (None, "BAGS"), (None, None), (2, "BAGS")]
 
 
