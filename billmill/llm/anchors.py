@@ -217,16 +217,28 @@ class Sift:
 SIFTED_COLUMNS = tuple(x.split()[0] for x in SIFTED.split(", "))
 
 
+def gathered(batches: Iterator[pd.DataFrame], rows: int = 1 << 13) -> Iterator[pd.DataFrame]:
+    """Batches of short rows, some of them at a time."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def sifted(found: DataFrame) -> DataFrame:
     """Contexts with their kind (see Sift). Rows of an anchor meet in one task, which streams them, whatever their number;
     those with members are dealt by themselves."""
 
     def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, empty = Sift(), None
-        for batch in batches:
-            if len(batch):
-                empty = batch.iloc[:0]
-                yield state.batch(batch)
+        for batch in gathered(batches):
+            empty = batch.iloc[:0]
+            yield state.batch(batch)
         if empty is not None:
             yield state.batch(empty, end=True)
 
@@ -279,7 +291,7 @@ def with_spans(docs: DataFrame, id_col: str, text_col: str, symbols: Callable[[s
             yield pd.DataFrame(judge(part), columns=["ctx", "share", "at", "runs"], dtype="int64")
 
     def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in gathered(batches):
             several = batch["members"].notna().to_numpy()
             raw = batch["members"][several]
             places = np.frombuffer(b"".join(raw), MEMBER)

@@ -25,13 +25,13 @@ from .anchors import Rolled, byte_symbols, covered, runs, with_spans
 from .common import prepared
 
 LENGTH, ANCHOR, SYMBOL = 200, 32, 50
-#: Bytes of regions that are merged at a time (whole anchors), and suffixes of a shard.
-MERGED, SHARD = 1_500_000, 1 << 18
+#: Bytes of regions that are merged at a time (whole anchors), and suffixes of a shard: few enough for a core's cache.
+MERGED, SHARD = 200_000, 1 << 16
 
 
 def by_symbol(symbols: np.ndarray) -> np.ndarray:
     """A stable order by symbol (below 2^32), 16 bits a pass."""
-    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
     if len(symbols) and symbols.max() > 0xFFFF:
         order = order[np.argsort((symbols[order] >> 16).astype(np.uint16), kind="stable")]
     return order
@@ -42,16 +42,23 @@ class Shard:
 
     def __init__(self, sizes: np.ndarray, symbols: np.ndarray, step: int):
         n, base = len(symbols), np.cumsum(sizes) - sizes
-        place = np.arange(n) - np.repeat(base, sizes)
         strings = np.minimum(sizes, step)  # a phase each
         tails = np.repeat(base + sizes - strings, strings) + np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+        before = np.arange(-step, n, dtype=np.int32)[:n]
+        before[np.repeat(base, strings) + np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)] = -1
+        before = np.concatenate([before, tails.astype(np.int32)])
         self.symbols, self.ends = symbols, len(tails)
-        before = np.concatenate([np.where(place >= step, np.arange(n) - step, -1), tails])
-        order = np.concatenate([np.arange(n, n + self.ends), np.arange(n)])
+        here = np.concatenate([[0], np.flatnonzero(np.bincount(symbols, minlength=1))]).astype(np.int64)
+        rank = np.zeros(int(symbols.max(initial=0)) + 1, np.int32)  # this shard's symbols only, so that a pass does
+        rank[here] = np.arange(len(here))
+        own = rank[symbols]
+        own = own.astype(np.uint16) if len(here) <= 1 << 16 else own
+        first = np.arange(n, n + self.ends, dtype=np.int32)
+        order = np.concatenate([first, np.arange(n, dtype=np.int32)])
         for _ in range(-(-int(sizes.max(initial=0)) // step) + 1):
             p = before[order]
             p = p[p >= 0]
-            order = np.concatenate([np.arange(n, n + self.ends), p[by_symbol(symbols[p])]])
+            order = np.concatenate([first, p[by_symbol(own[p])]])
         self.order = order
         p = before[order]
         self.bwt = np.where(p >= 0, symbols[p], 0)  # 0: the string starts here
@@ -61,38 +68,38 @@ def interleaved(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarra
     """(shard, lcp) of each suffix in merged order by the first `rounds` symbols; lcp: symbols in common with the suffix
     before, as far as rounds tell."""
     sizes = [len(s.order) for s in shards]
-    ends = np.repeat(np.arange(len(shards)), [s.ends for s in shards])
-    of, bwt = np.repeat(np.arange(len(shards)), sizes), np.concatenate([s.bwt for s in shards])
-    block, lcp = np.zeros(len(of), np.int64), np.full(len(of), rounds)
+    ends = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.ends for s in shards])
+    of, bwt = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes), np.concatenate([s.bwt for s in shards])
+    block, lcp = np.zeros(len(of), np.int32), np.full(len(of), rounds, np.int32)
     for done in range(rounds):
         symbols = np.empty_like(bwt)
-        symbols[np.argsort(of.astype(np.uint16), kind="stable")] = bwt  # each shard's, in its own order
+        symbols[np.argsort(of, kind="stable")] = bwt  # each shard's, in its own order
         inner = np.flatnonzero(symbols)
-        inner = inner[by_symbol(symbols[inner])]
-        s, b = symbols[inner], block[inner]
+        s = symbols[inner]
+        order = by_symbol(s)
+        inner, s = inner[order], s[order]
+        b = block[inner]
         new = np.concatenate([[True], (s[1:] != s[:-1]) | (b[1:] != b[:-1])]) if len(s) else np.zeros(0, bool)
         of = np.concatenate([ends, of[inner]])
-        block = np.concatenate([np.arange(len(ends)), len(ends) - 1 + np.cumsum(new)])
-        split = np.concatenate([[True], block[1:] != block[:-1]])
-        lcp[split & (lcp == rounds)] = done
+        block = np.concatenate([np.arange(len(ends), dtype=np.int32), (len(ends) - 1 + np.cumsum(new)).astype(np.int32)])
+        lcp[np.concatenate([[True], block[1:] != block[:-1]]) & (lcp == rounds)] = done
     return of, lcp
 
 
 def repeated(regions: list[bytes], counts: np.ndarray, length: int = LENGTH, step: int = SYMBOL) -> list[np.ndarray]:
     """For each region, which of its length-byte strings also start elsewhere; counts: how often there is the region."""
-    sizes = np.array([len(r) - step + 1 for r in regions])
-    hashed = []
-    for r in regions:
-        rolled = Rolled(byte_symbols(r))
-        hashed.append(rolled.runs(slice(0, len(r) - step + 1), slice(step, len(r) + 1)))
-    symbols = np.unique(np.concatenate(hashed), return_inverse=True)[1] + 1
+    whole = np.array([len(r) for r in regions])
+    sizes, base = whole - step + 1, np.cumsum(whole) - whole
+    at = np.arange(sizes.sum()) + np.repeat(base - (np.cumsum(sizes) - sizes), sizes)
+    hashed = Rolled(byte_symbols(b"".join(regions))).runs(at, at + step)
+    symbols = (np.unique(hashed, return_inverse=True)[1] + 1).astype(np.int32)
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // SHARD)) + 1), len(regions)]
     first = np.concatenate([[0], np.cumsum(sizes)])
     shards = [Shard(sizes[a:b], symbols[first[a] : first[b]], step) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
     starts = [first[a] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
     of, lcp = interleaved(shards, length // step)
     position = np.empty(len(of), np.int64)  # of each merged suffix, or -1 for an end
-    position[np.argsort(of.astype(np.uint16), kind="stable")] = np.concatenate([np.where(s.order < len(s.symbols), s.order + at, -1) for s, at in zip(shards, starts, strict=True)])
+    position[np.argsort(of, kind="stable")] = np.concatenate([np.where(s.order < len(s.symbols), s.order + at, -1) for s, at in zip(shards, starts, strict=True)])
     region = np.repeat(np.arange(len(regions)), sizes)
     full = position >= 0
     full[full] = position[full] - first[region[position[full]]] <= sizes[region[position[full]]] - 1 - (length - step)
