@@ -21,6 +21,8 @@ FRONTIER = 1 << 20
 #: Subtree pairs with no more leaf pairs than this are compared leaf by leaf.
 LEAVES = 48
 U = np.uint64
+#: Letters of the texts that are hashed at a time.
+CHARACTERS = 1 << 21
 #: Fixed values of XXH64.
 P1, P2, P3, P4, P5 = (U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
@@ -229,7 +231,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "fp": fingerprints(batch["text"].tolist(), shingle, seed).view(np.int64)})
+            texts = batch["text"].tolist()
+            ends = np.cumsum([len(t or "") for t in texts]) // CHARACTERS  # a part of the batch at a time: there are ten arrays a word
+            parts = [fingerprints(texts[a:z], shingle, seed) for a, z in zip([0, *(np.flatnonzero(np.diff(ends)) + 1)], [*(np.flatnonzero(np.diff(ends)) + 1), len(texts)], strict=True)]
+            yield pd.DataFrame({"id": batch["id"], "fp": np.concatenate(parts).view(np.int64)})
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(hashed, f"id {kind}, fp long"))
