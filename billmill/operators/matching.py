@@ -77,31 +77,49 @@ def fuzzy(asked: DataFrame, known: DataFrame, least: float = 88.0, keys: tuple[C
 
     Both sides are (id, name, block). A name meets the names of its block and those without one; without a block it
     meets all. Each spelling of a block is scored once, against the spellings that share a word of the key with it, or
-    are of a length, without blanks or as a set of words, that allows least: no other can reach it. Lengths meet by
-    bands, as in snapped(); what has no key (only a legal form, or nothing) matches nothing. score_of gets (key, light)
-    of either side and has to be 0 to 100, and at most what the keys' words or lengths allow.
+    a piece of it: names of which least (80 at least) of the letters are common, in order, differ by so few insertions
+    and deletions, of one letter each, that of one piece more than these one is unharmed, and at most so many places
+    away. Pieces are of the key without blanks and of its words in order; no other spelling can reach least. What has no
+    key (only a legal form, or nothing) matches nothing. score_of gets (key, light) of either side and has to be 0 to
+    100, and at most what the keys' words and letters allow.
     """
+    if least < 80:
+        raise ValueError("least has to be 80 or more")
     shortest = least / (200 - least)
-    band, reach = lambda n: F.floor(F.log(n) / math.log(1.25)), math.ceil(-math.log(shortest) / math.log(1.25))
+    harm = (1 - least / 100) * (1 + 1 / shortest)  # insertions and deletions a letter
 
     def spellings(df: DataFrame) -> DataFrame:
         keyed = df.withColumns({"key": keys[0](F.col("name")), "light": keys[1](F.col("name"))}).where("key <> ''")
-        return keyed.withColumns({"words": F.array_distinct(F.filter(F.split("key", " "), lambda w: w != "")), "tight": F.length(F.regexp_replace("key", " ", ""))}).withColumn("set", F.length(F.array_join("words", " ")))
+        keyed = keyed.withColumn("words", F.array_distinct(F.filter(F.split("key", " "), lambda w: w != "")))
+        return keyed.withColumns({"tight_": F.regexp_replace("key", " ", ""), "set_": F.array_join(F.array_sort("words"), " ")}).withColumns({"tight": F.length("tight_"), "set": F.length("set_")})
 
-    def meets(df: DataFrame, where: Column, spread: int) -> DataFrame:
-        near = lambda kind, n: F.transform(F.sequence(band(F.col(n)) - spread, band(F.col(n)) + spread), lambda x: F.concat(F.lit(kind), x.cast("string")))
-        by = F.concat(F.transform("words", lambda w: F.concat(F.lit("w"), w)), near("t", "tight"), near("s", "set"))
-        return df.withColumn("where", F.explode(where)).withColumn("by", F.explode(by))
+    def place(kind: str, text: Column, at: Column, n: Column, harmed: Column) -> Column:
+        return F.struct(F.concat(F.lit(kind), F.substring(text, at + 1, n)).alias("k"), at.cast("int").alias("at"), harmed.cast("int").alias("harmed"))
+
+    def pieces(kind: str, text: Column) -> Column:
+        n = F.length(text)
+        d = F.floor(harm * n + 1e-9)
+        return F.transform(F.sequence(F.lit(0).cast("long"), d), lambda i: place(kind, text, F.floor(i * n / (d + 1)), F.floor((i + 1) * n / (d + 1)) - F.floor(i * n / (d + 1)), d))
+
+    def runs(kind: str, text: Column) -> Column:
+        n = F.length(text)
+        fewest = F.greatest(F.lit(1), F.floor(F.ceil(n * shortest) / (harm * F.ceil(n * shortest) + 1)).cast("int"))
+        sizes = F.sequence(fewest, F.least(n, F.greatest(fewest, F.lit(math.ceil(1 / harm)))))
+        return F.flatten(F.transform(sizes, lambda m: F.transform(F.sequence(F.lit(0), n - m), lambda at: place(kind, text, at, m, F.lit(0)))))
+
+    def meets(df: DataFrame, where: Column, cut: Callable[[str, Column], Column]) -> DataFrame:
+        words = F.transform("words", lambda w: F.struct(F.concat(F.lit("w"), w).alias("k"), F.lit(0).alias("at"), F.lit(0).alias("harmed")))
+        return df.withColumn("where", F.explode(where)).withColumn("by", F.explode(F.concat(words, cut("t", F.col("tight_")), cut("s", F.col("set_"))))).select("*", "by.k", "by.at", "by.harmed")
 
     # Blocks meet in one place each: equal ones, a known name without one, an asked name without one.
     own, free, every = F.struct(F.lit(0).alias("k"), F.col("block").alias("b")), *(F.struct(F.lit(k).alias("k"), F.lit(None).cast(asked.schema["block"].dataType).alias("b")) for k in (1, 2))
     null_safe = lambda c: F.struct(c["k"].alias("k"), c["b"].isNull().alias("n"), F.coalesce(c["b"].cast("string"), F.lit("")).alias("b"))
     at = lambda none, some: F.transform(F.when(F.col("block").isNull(), F.array(*none)).otherwise(F.array(*some)), null_safe)
-    a = meets(spellings(asked.select("name", "block").distinct()), at([every], [own, free]), reach)
-    k = meets(spellings(known.groupBy("name", "block").agg(F.min("party_id").alias("party_id"))), at([free, every], [own, every]), 0)
-    k = k.select("where", "by", "party_id", F.col("light").alias("other_light"), F.col("key").alias("other_key"), F.col("tight").alias("other_tight"), F.col("set").alias("other_set"))
+    a = meets(spellings(asked.select("name", "block").distinct()), at([every], [own, free]), pieces)
+    k = meets(spellings(known.groupBy("name", "block").agg(F.min("party_id").alias("party_id"))), at([free, every], [own, every]), runs)
+    k = k.select("where", "k", F.col("at").alias("other_at"), "party_id", F.col("light").alias("other_light"), F.col("key").alias("other_key"), F.col("tight").alias("other_tight"), F.col("set").alias("other_set"))
     fits = lambda n, o: F.least(n, o) >= shortest * F.greatest(n, o) - 1e-9
-    pairs = a.join(k, ["where", "by"]).where(F.col("by").startswith("w") | fits(F.col("tight"), F.col("other_tight")) | fits(F.col("set"), F.col("other_set")))
+    pairs = a.join(k, ["where", "k"]).where(F.abs(F.col("at") - F.col("other_at")) <= F.col("harmed")).where(F.col("k").startswith("w") | fits(F.col("tight"), F.col("other_tight")) | fits(F.col("set"), F.col("other_set")))
     pairs = pairs.select("name", "block", "key", "light", "party_id", "other_key", "other_light").distinct()
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

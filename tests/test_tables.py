@@ -1,5 +1,6 @@
 """Goods tables, totals, tax tables and totals in words out of positioned words, on synthetic pages."""
 
+import random
 from decimal import Decimal as D
 
 from pyspark.sql import functions as F
@@ -135,6 +136,16 @@ def test_fuzzy_loses_no_pair(spark):
 
     known = [(1, "lcdfe46", "27"), (2, "Riverstone Impex", "27"), (3, "Nilesh Ganpule", None), (4, "sunrise dryfruits", "24"), (5, "Shan Trading Co", "24"), (6, "sunrise dryfruits", "27"), (7, None, "27"), (8, "Pvt Ltd", "27"), (9, "gamma beta alphas", "24"), (10, "lcdfe46", "27")]
     asked = [(1, "lcdf e 46", "27"), (2, "riverstne", "27"), (3, "Nilesh Ganpule", "24"), (4, "sunrize dryfruit", "24"), (5, "sunrize dryfruit", None), (6, "Nilesh Ganpuley", None), (7, None, "27"), (8, "Pvt Ltd", "27"), (9, "alpha gamme bet", "24"), (10, "lcdf e 46", "24"), (1, "lcdf e 46", "27")]
+    rnd = random.Random(8)
+    for n in range(60):  # names of few letters, and the same with letters lost, doubled and moved
+        name = "".join(rnd.choices("abc ", k=rnd.randrange(1, 26)))
+        known.append((100 + n, name, rnd.choice(["27", "24", None])))
+        for _ in range(3):
+            near = list(name)
+            for _ in range(rnd.randrange(4)):
+                at = rnd.randrange(len(near) + 1)
+                near[at : at + rnd.randrange(2)] = rnd.choices("abc ", k=rnd.randrange(2))
+            asked.append((1000 + len(asked), "".join(near), rnd.choice(["27", "24", None])))
     a, k = spark.createDataFrame(asked, "ask_id long, name string, block string"), spark.createDataFrame(known, "party_id long, name string, block string")
     keyed = lambda df: [(*r,) for r in df.withColumns({"key": name_key("name"), "light": name_light("name")}).collect()]
     want = set()
