@@ -30,6 +30,12 @@ def arrivals(files: DataFrame, largest: int = LARGEST_MB << 20) -> DataFrame:
     return hashed.join(first, "sha256", "left").withColumn("outcome", outcome).select("id", "sha256", "outcome", F.when(F.col("outcome") == "stored", path).alias("path"))
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """texts over as many tasks as there are cores, where their files give fewer."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts if texts.rdd.getNumPartitions() >= cores else texts.repartition(cores)
+
+
 def page_texts(pages: DataFrame, key: str, number: str, text: str) -> DataFrame:
     """(key, text): a document's pages in order, each under a line with its number; blank pages are left out."""
     some = pages.where(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")) != "")

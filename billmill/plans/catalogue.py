@@ -247,7 +247,7 @@ register("category_guess", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 TH
 _kw = "+".join(f"contains(lower(text), '{w}')::INT" for w in C.BILL_WORDS)
 register("page_quality", f"""SELECT doc_id, score, CASE WHEN score >= 0.6 THEN 'text_layer' ELSE 'ocr_vision' END AS route FROM (SELECT doc_id, CASE WHEN length(b) > 0 THEN round(0.5 * least(({_kw}) / 8.0::DOUBLE, 1) + 0.2 * least(length(regexp_replace(b, '[^\\p{{L}}]', '', 'g'))::DOUBLE / length(b) / 0.45::DOUBLE, 1) + 0.3 * CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda x: regexp_matches(x, '[aeiouAEIOU]')))::DOUBLE / len(t) ELSE 0 END, 4) ELSE 0 END AS score
 FROM (SELECT doc_id, text, regexp_replace(text, '\\s', '', 'g') AS b, regexp_extract_all(text, '[A-Za-z]{{2,}}') AS t FROM documents))""")(
-    lambda s, d: Ledger(s, d).documents.select("doc_id", C.text_score(F.col("text")).alias("score")).withColumn("route", F.when(F.col("score") >= 0.6, "text_layer").otherwise("ocr_vision")))
+    lambda s, d: lifecycle.spread(Ledger(s, d).documents.select("doc_id", "text")).select("doc_id", C.text_score(F.col("text")).alias("score")).withColumn("route", F.when(F.col("score") >= 0.6, "text_layer").otherwise("ocr_vision")))
 register("content_dedupe", "SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")(lambda s, d: matching.first_of_content(Ledger(s, d).documents, "doc_id", "text"))
 
 # --- Documents ------------------------------------------------------------------------------------------------------
