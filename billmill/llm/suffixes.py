@@ -26,63 +26,65 @@ from .common import prepared
 
 LENGTH, ANCHOR, SYMBOL = 200, 32, 50
 #: Bytes of regions that are merged at a time (whole anchors), and suffixes of a shard: few enough for a core's cache.
-MERGED, SHARD = 200_000, 1 << 16
+MERGED, SHARD = 100_000, 1 << 15
 
 
-def by_symbol(symbols: np.ndarray) -> np.ndarray:
-    """A stable order by symbol (below 2^32), 16 bits a pass."""
-    order = np.argsort(symbols.astype(np.uint16), kind="stable")
-    if len(symbols) and symbols.max() > 0xFFFF:
-        order = order[np.argsort((symbols[order] >> 16).astype(np.uint16), kind="stable")]
-    return order
+def narrow(values: np.ndarray, most: int) -> np.ndarray:
+    """values, none above most, in as few bytes as a radix sort can take them, if it can."""
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16) if most < 1 << 16 else values
+
+
+def by_symbol(symbols: np.ndarray, most: int) -> np.ndarray:
+    """A stable order by symbol (most at most, below 2^32), 16 bits a pass."""
+    if most <= 0xFFFF:
+        return np.argsort(narrow(symbols, most), kind="stable")
+    order = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    return order[np.argsort(narrow(symbols >> 16, most >> 16)[order], kind="stable")]
 
 
 class Shard:
-    """Suffixes of regions: positions 0 to n - 1 with a symbol each, then the strings' ends."""
+    """Suffixes of regions: positions 0 to n - 1 with a symbol each (from 1), then the strings' ends."""
 
     def __init__(self, sizes: np.ndarray, symbols: np.ndarray, step: int):
         n, base = len(symbols), np.cumsum(sizes) - sizes
         strings = np.minimum(sizes, step)  # a phase each
-        tails = np.repeat(base + sizes - strings, strings) + np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-        before = np.arange(-step, n, dtype=np.int32)[:n]
-        before[np.repeat(base, strings) + np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)] = -1
-        before = np.concatenate([before, tails.astype(np.int32)])
-        self.symbols, self.ends = symbols, len(tails)
-        here = np.concatenate([[0], np.flatnonzero(np.bincount(symbols, minlength=1))]).astype(np.int64)
-        rank = np.zeros(int(symbols.max(initial=0)) + 1, np.int32)  # this shard's symbols only, so that a pass does
+        self.symbols, self.ends = symbols, int(strings.sum())
+        phase = np.arange(self.ends) - np.repeat(np.cumsum(strings) - strings, strings)
+        before = np.arange(-step, n + self.ends - step, dtype=np.int32)
+        before[np.repeat(base, strings) + phase] = -1
+        before[n:] = np.repeat(base + sizes - strings, strings) + phase
+        self.before = np.append(symbols, 0)[before]  # 0: the string starts here
+        here = np.flatnonzero(np.bincount(self.before, minlength=1))
+        rank = np.zeros(here[-1] + 1 if len(here) else 1, np.int32)  # this shard's symbols only, so that a pass does
         rank[here] = np.arange(len(here))
-        own = rank[symbols]
-        own = own.astype(np.uint16) if len(here) <= 1 << 16 else own
+        own = narrow(rank[self.before], len(here))
         first = np.arange(n, n + self.ends, dtype=np.int32)
         order = np.concatenate([first, np.arange(n, dtype=np.int32)])
         for _ in range(-(-int(sizes.max(initial=0)) // step) + 1):
-            p = before[order]
-            p = p[p >= 0]
-            order = np.concatenate([first, p[by_symbol(own[p])]])
-        self.order = order
-        p = before[order]
-        self.bwt = np.where(p >= 0, symbols[p], 0)  # 0: the string starts here
+            order = before[order[by_symbol(own[order], len(here))]]
+            order[: self.ends] = first  # in the places of the starts, which nothing is before
+        self.order, self.bwt = order, self.before[order]
 
 
 def interleaved(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """(shard, lcp) of each suffix in merged order by the first `rounds` symbols; lcp: symbols in common with the suffix
     before, as far as rounds tell."""
-    sizes = [len(s.order) for s in shards]
-    ends = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.ends for s in shards])
-    of, bwt = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes), np.concatenate([s.bwt for s in shards])
+    each = narrow(np.arange(len(shards)), len(shards))
+    ends = np.repeat(each, [s.ends for s in shards])
+    of, bwt = np.repeat(each, [len(s.order) for s in shards]), np.concatenate([s.bwt for s in shards])
+    most = int(bwt.max(initial=0))
+    bwt = narrow(bwt, most)
     block, lcp = np.zeros(len(of), np.int32), np.full(len(of), rounds, np.int32)
+    differs, symbols = np.ones(len(of), bool), np.empty_like(bwt)
     for done in range(rounds):
-        symbols = np.empty_like(bwt)
         symbols[np.argsort(of, kind="stable")] = bwt  # each shard's, in its own order
-        inner = np.flatnonzero(symbols)
-        s = symbols[inner]
-        order = by_symbol(s)
-        inner, s = inner[order], s[order]
-        b = block[inner]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (b[1:] != b[:-1])]) if len(s) else np.zeros(0, bool)
-        of = np.concatenate([ends, of[inner]])
-        block = np.concatenate([np.arange(len(ends), dtype=np.int32), (len(ends) - 1 + np.cumsum(new)).astype(np.int32)])
-        lcp[np.concatenate([[True], block[1:] != block[:-1]]) & (lcp == rounds)] = done
+        order = by_symbol(symbols, most)  # strings' starts come first, and make room for the ends
+        of, s, b = of[order], symbols[order], block[order]
+        of[: len(ends)] = ends
+        differs[1:] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
+        differs[: len(ends) + 1] = True
+        block = np.cumsum(differs, dtype=np.int32)
+        lcp[differs & (lcp == rounds)] = done
     return of, lcp
 
 
@@ -90,23 +92,23 @@ def repeated(regions: list[bytes], counts: np.ndarray, length: int = LENGTH, ste
     """For each region, which of its length-byte strings also start elsewhere; counts: how often there is the region."""
     whole = np.array([len(r) for r in regions])
     sizes, base = whole - step + 1, np.cumsum(whole) - whole
-    at = np.arange(sizes.sum()) + np.repeat(base - (np.cumsum(sizes) - sizes), sizes)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    inside = np.arange(first[-1]) - np.repeat(first[:-1], sizes)
+    at = inside + np.repeat(base, sizes)
     hashed = Rolled(byte_symbols(b"".join(regions))).runs(at, at + step)
     symbols = (np.unique(hashed, return_inverse=True)[1] + 1).astype(np.int32)
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // SHARD)) + 1), len(regions)]
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    shards = [Shard(sizes[a:b], symbols[first[a] : first[b]], step) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-    starts = [first[a] for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+    cuts = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+    shards = [Shard(sizes[a:b], symbols[first[a] : first[b]], step) for a, b in cuts]
     of, lcp = interleaved(shards, length // step)
-    position = np.empty(len(of), np.int64)  # of each merged suffix, or -1 for an end
-    position[np.argsort(of, kind="stable")] = np.concatenate([np.where(s.order < len(s.symbols), s.order + at, -1) for s, at in zip(shards, starts, strict=True)])
-    region = np.repeat(np.arange(len(regions)), sizes)
-    full = position >= 0
-    full[full] = position[full] - first[region[position[full]]] <= sizes[region[position[full]]] - 1 - (length - step)
-    interval = np.cumsum(lcp < length // step) - 1 if len(lcp) else lcp
-    weight = np.bincount(interval[full], counts[region[position[full]]], minlength=int(interval.max(initial=0)) + 1)
-    out = np.zeros(first[-1], bool)
-    out[position[full]] = weight[interval[full]] >= 2
+    position = np.empty(len(of), np.int64)  # of each merged suffix; the ends have the last place
+    position[np.argsort(of, kind="stable")] = np.concatenate([np.where(s.order < len(s.symbols), s.order + first[a], first[-1]) for s, (a, _) in zip(shards, cuts, strict=True)])
+    full = inside < np.repeat(sizes - (length - step), sizes)
+    times = np.append(np.where(full, np.repeat(counts, sizes), 0), 0)
+    interval = np.cumsum(lcp < length // step) - 1
+    weight = np.bincount(interval, times[position])
+    out = np.zeros(first[-1] + 1, bool)
+    out[position] = weight[interval] >= 2
     return [out[a : a + n] for a, n in zip(first[:-1], sizes - (length - step), strict=True)]
 
 

@@ -277,18 +277,20 @@ def test_suffixes(spark, small):
     assert suffixes.without_repeats(documents(spark, [])).count() == 0
 
 
-def test_merge_over_shards(monkeypatch):
-    monkeypatch.setattr(suffixes, "SHARD", 3000)
+@pytest.mark.parametrize("size, shard, n", [(3000, 3000, 120), (3000, 200, 320), (200_000, 1 << 17, 700), (200_000, 1 << 15, 700)])
+def test_merge_over_shards(monkeypatch, size, shard, n):
+    """Few and many shards (over 2^8), few and many symbols (over 2^16), in a group and in a shard."""
+    monkeypatch.setattr(suffixes, "SHARD", shard)
     rnd = random.Random(3)
-    base = bytes(rnd.choices(b"abcdefgh ", k=3000))
+    base = bytes(rnd.choices(b"abcdefgh ", k=size))
     regions = []
-    for i in range(120):
-        a = rnd.randrange(2500)
+    for i in range(n):
+        a = rnd.randrange(size - 500)
         r = bytearray(base[a : a + rnd.randrange(200, 420)])
         if i % 3:
             r[rnd.randrange(len(r))] = 65 + i % 26
         regions.append(bytes(r))
-    counts = np.array([1 + 6 * (i % 10 == 0) for i in range(120)])
+    counts = np.array([1 + 6 * (i % 10 == 0) for i in range(n)])
     count = Counter()
     for r, m in zip(regions, counts, strict=True):
         for i in range(len(r) - 199):
