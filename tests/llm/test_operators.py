@@ -223,6 +223,30 @@ def long_rows():
     return [(1, " ".join([*split[:300], passage, *split[300:at], passage, *split[at:]])), (2, passage), (3, " ".join(split[at - 120 : at + 120]))]
 
 
+@pytest.mark.parametrize("copies", [40, 160])
+def test_copies_of_hot_contexts_have_a_place_each(copies):
+    """Of text that differing documents share, a place is a context in each (not a window); windows are counted as often."""
+    rnd = random.Random(11)
+    prose = lambda n: bytes(rnd.choices(b"abcdefgh ", k=n))
+    shared = prose(3000)
+    raws = [prose(300) + shared + prose(300) for _ in range(copies)]
+    parts = [(i.to_bytes(16, "big"), 0, suffixes.byte_symbols(r)) for i, r in enumerate(raws)]
+    found = anchors.contexts(parts, 200, 32).groupby("anchor")["ctx"].nunique()
+    busy = anchors.contexts(parts, 200, 32)["anchor"].unique().view(np.uint64)
+    assert found.max() > copies * 0.9  # at the ends of what is shared
+    out = anchors.contexts(parts, 200, 32, busy)
+    places = [(u, lo, n) for u, lo, n in out[out["m"] == 1][["uid", "lo", "n"]].itertuples(index=False)]
+    for n, members in out[out["m"] == 0][["n", "members"]].itertuples(index=False):
+        places += [(bytes(x["uid"]), int(x["lo"]), n) for x in np.frombuffer(members, anchors.MEMBER)]
+    inner = [x for x in places if 500 <= x[1] <= 2900]
+    assert len(inner) <= copies * 2400 / 40  # before: copies * 2401
+    assert sorted((u, lo + i) for u, lo, n in places for i in range(n)) == [(u, i) for u, _, x in parts for i in range(len(x) - 199)]
+    seen, count = Counter(), Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
+    for u, lo, m in out[(out["n"] == 1) & (out["m"] > 0)][["uid", "lo", "m"]].itertuples(index=False):
+        seen[raws[int.from_bytes(u, "big")][lo : lo + 200]] += m
+    assert seen == count
+
+
 def test_suffixes_of_long_documents(spark):
     rows = long_rows()
     count = Counter(hash(t[i : i + 200]) for _, t in rows for i in range(len(t) - 199))
