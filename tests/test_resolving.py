@@ -62,3 +62,12 @@ def test_goods_and_scripts():
     assert lex.term("kali mirch sabut naya") == "Black pepper whole new" and lex.term("Zephyr") == "Zephyr" and lex.is_known("x kaju") and not lex.is_known("Zephyr") and not lex.is_known(None)
     got = sentences.read("V12 ne दो सौ किलो बादाम ७९३ में", lex)
     assert (got["buyer"], got["quantity"], got["uom"], got["goods"], got["rate"]) == ("V12", 200, "KGS", "Almond", 793)
+
+
+def test_cut_names_are_not_broadcast(spark):
+    """Pieces are many times their names, which Spark's estimates don't know: such a side must not go through the driver."""
+    rows = spark.createDataFrame([(i, f"name {i * 7919 % 10007:05d} x", "27") for i in range(40)], "ask_id long, name string, block string").where("ask_id >= 0")
+    got = matching.fuzzy(rows, rows.withColumnRenamed("ask_id", "party_id"), least=95.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k#" in plan and "BroadcastHashJoin [k#" not in plan
+    assert sorted((r.ask_id, r.party_id) for r in got.collect()) == [(i, i) for i in range(40)]
