@@ -155,10 +155,12 @@ def party_search(parties: DataFrame, role: str, q: str, limit: int = 50) -> Data
 
 
 def holdout(rows: DataFrame, id_col: str, share: float = 0.85) -> DataFrame:
-    """A training and a test part: the first 85 % by id, one row at least, train. Rows are sorted into ranges of ids; a
-    range is numbered from the count of those before it, which are as many numbers as partitions."""
-    ranged = rows.select(id_col).repartitionByRange(id_col).sortWithinPartitions(id_col).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33))
+    """A training and a test part: the first 85 % by id (nulls last), one row at least, train. Rows are sorted into ranges
+    of ids; a range is numbered from the count of those before it, which are as many numbers as partitions. The ranges
+    follow from a sample that is drawn anew each time they are made, so they are made once, and kept on the executors."""
+    order = F.asc_nulls_last(id_col)
+    ranged = rows.select(id_col).repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
+    ranged = ranged.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("long"), 33)).localCheckpoint()
     sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}
     before, starts = 0, {}
     for part in sorted(sizes):

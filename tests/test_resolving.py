@@ -6,7 +6,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from billmill.functions import cleaning as C
-from billmill.operators import exports, matching, resolving, sentences, spoken
+from billmill.operators import exports, matching, reports, resolving, sentences, spoken
 
 PARTY = "party_id long, legal_name string, display_name string, state_code string, gstin string"
 ASK = "ask_id long, name string, gstin string, state_code string"
@@ -71,3 +71,10 @@ def test_cut_names_are_not_broadcast(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [k#" in plan and "BroadcastHashJoin [k#" not in plan
     assert sorted((r.ask_id, r.party_id) for r in got.collect()) == [(i, i) for i in range(40)]
+
+
+def test_holdout_of_many_ranges(spark):
+    """Ranges are sampled anew in each job, so a count of one job's ranges says nothing about another's; null ids come last."""
+    ids = spark.range(0, 500_000, 1, 24).selectExpr("IF(id = 7, NULL, id * 7919 % 500000) AS doc_id")
+    got = reports.holdout(ids, "doc_id").groupBy("part").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("none"))
+    assert sorted(map(tuple, got.collect())) == [("test", 75_000, 499_999, 1), ("train", 425_000, 425_000, 0)]
