@@ -157,3 +157,20 @@ def test_fuzzy_loses_no_pair(spark):
     assert got == sorted(want) and got[0] == (1, 1, 100.0) and {i for i, _, _ in got} >= {1, 3, 4, 5, 6}
     sf = "/root/testdata/sf0.001"
     assert QUERIES["resolve_fuzzy"](spark, sf).select("ask_id").distinct().count() == spark.read.parquet(f"{sf}/part.parquet").count()
+
+
+def test_lines_of_pages_shuffle_words_once(spark):
+    rnd = random.Random(5)
+    rows = [(d, p, float(x), x + 9.0, rnd.choice([0, 2, 3.4, 7, 9, 30, 31]) * 1.0, rnd.choice(["a", "B", None])) for d in range(6) for p in (1, 2) for x in rnd.choices(range(60), k=rnd.randrange(1, 30))]
+    words = spark.createDataFrame(rows, "doc int, page int, x0 double, x1 double, y double, text string")
+    plain = lambda df: sorted((r.doc, r.page, r.line, round(r.y, 6), repr(r.w), r.text) for r in df.collect())
+    assert plain(tables.page_by_line(words)) == plain(tables.by_line(layout.lines(words)))
+    plan = tables.page_by_line(words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("collect_list") == 2  # a partial and a final one
+
+
+def test_labels_may_begin_with_what_does_not_count(spark):
+    lines = spark.createDataFrame([(1, 1, 0, 0.0, [(0.0, 5.0, ":"), (6.0, 20.0, "Broker"), (21.0, 25.0, "Name."), (30.0, 60.0, "Ajay")], ": Broker Name. Ajay")], "doc int, page int, line long, y double, w array<struct<x0:double,x1:double,text:string>>, text string")
+    assert [(r.field, r.value) for r in labels.values(lines, {"b": ("broker name",)}).collect()] == [("b", "Ajay")]
+    found = tables.labelled(lines, {"broker": "b", "broker name": "b"}, lambda c: tables.tidy(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))).select("labels").first().labels
+    assert [(x["at"], x["size"], x["name"]) for x in found] == [(0, 2, "b")]
