@@ -198,14 +198,17 @@ def words_value(text: Column) -> Column:
         cur = F.when(u.isNotNull(), a["cur"] + u).when(t == "hundred", some(a) * 100).when(s.isNotNull(), F.lit(0).cast("long")).otherwise(a["cur"])
         return F.struct(total.alias("total"), cur.alias("cur"), (a["seen"] | u.isNotNull() | s.isNotNull() | (t == "hundred")).alias("seen"))
 
-    done = F.aggregate(tokens, start, fold)
-    return F.when(done["seen"], done["total"] + done["cur"])
+    return F.aggregate(tokens, start, fold, lambda a: F.when(a["seen"], a["total"] + a["cur"]))
 
 
 def words_amount(text: Column) -> Column:
     """An amount in words as decimal(20,2): a label before it doesn't count, and paise are what comes between the last
     'and' and 'paise', or after 'rupees and' if rupees came before; null if no number word occurs."""
-    low = F.regexp_replace(F.lower(text), r"^.*?\bwords?\b\s*[:\-]?", "")
+    made = F.transform(F.array(F.regexp_replace(F.lower(text), r"^.*?\bwords?\b\s*[:\-]?", "")), _words_amount)
+    return F.get(made, F.lit(0))  # so that the text is made once
+
+
+def _words_amount(low: Column) -> Column:
     head = F.regexp_extract(low, r"(?s)^(.*)pais[ea]", 1)
     split = head.contains(" and ")
     tail = r"\brupees?\b\s+and\s+(.+?)(?:\bonly\b|$)"
@@ -213,7 +216,8 @@ def words_amount(text: Column) -> Column:
     marked, implied = low.rlike("pais[ea]"), low.rlike(tail) & words_value(before).isNotNull()
     rupees = F.when(marked & split, F.regexp_extract(head, r"(?s)^(.*) and ", 1)).when(marked, head).when(implied, before).otherwise(low)
     paise = F.when(marked & split, F.regexp_extract(head, r"(?s)^.* and (.*)$", 1)).when(~marked & implied, F.regexp_extract(low, tail, 1))
-    return (words_value(rupees).cast("decimal(18,0)") + F.coalesce(words_value(paise), F.lit(0)).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(20,2)")
+    both = F.transform(F.array(rupees, paise), words_value)
+    return (F.get(both, F.lit(0)).cast("decimal(18,0)") + F.coalesce(F.get(both, F.lit(1)), F.lit(0)).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(20,2)")
 
 
 def due_date(day: Column, terms: Column) -> Column:

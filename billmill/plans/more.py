@@ -137,7 +137,7 @@ register("printed_dates", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 6
     lambda s, d: Ledger(s, d).orders.select(F.col("o_orderkey").alias("id"), C.date(F.expr("CASE o_orderkey % 7 WHEN 0 THEN concat('Dated ', date_format(o_orderdate, 'dd-MMM-yy')) WHEN 1 THEN date_format(o_orderdate, 'd MMMM yyyy') WHEN 2 THEN date_format(o_orderdate, 'MMMM d, yyyy') WHEN 3 THEN date_format(o_orderdate, 'dd-MM-yy') WHEN 4 THEN date_format(o_orderdate, 'MM/dd/yyyy') WHEN 5 THEN date_format(o_orderdate, \"d'th of' MMM, yyyy\") ELSE 'no date 31/02/1995' END")).alias("clean")))
 TENS = ("Twenty", "Thirty", "Forty", "Fifty", "Sixty", "Seventy", "Eighty", "Ninety")
 register("words_amounts", f"""SELECT p_partkey AS id, (v * 1000 + u + CASE p_partkey % 3 WHEN 0 THEN 0 ELSE w / 100 END)::DOUBLE AS amount FROM (SELECT p_partkey, (p_partkey % 8 + 2) * 10 AS v, (p_size % 8 + 2) * 10 AS w, (p_partkey // 8 % 8 + 2) * 10 AS u FROM part)""")(
-    lambda s, d: of_part(s, d, amount=C.words_amount(F.expr("concat('Amount Chargeable (in words): INR ', {0}, ' Thousand ', {1}, CASE p_partkey % 3 WHEN 0 THEN ' Only' WHEN 1 THEN concat(' and ', {2}, ' paise Only') ELSE concat(' Rupees and ', {2}, ' only') END)".format(*(f"element_at(array{TENS}, CAST({x} % 8 + 1 AS INT))" for x in ("p_partkey", "floor(p_partkey / 8)", "p_size"))))).cast("double")))
+    lambda s, d: lifecycle.spread(Ledger(s, d).part.select("p_partkey", "p_size")).select(F.col("p_partkey").alias("id"), C.words_amount(F.expr("concat('Amount Chargeable (in words): INR ', {0}, ' Thousand ', {1}, CASE p_partkey % 3 WHEN 0 THEN ' Only' WHEN 1 THEN concat(' and ', {2}, ' paise Only') ELSE concat(' Rupees and ', {2}, ' only') END)".format(*(f"element_at(array{TENS}, CAST({x} % 8 + 1 AS INT))" for x in ("p_partkey", "floor(p_partkey / 8)", "p_size"))))).cast("double").alias("amount")))
 register("percents", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_size / 100.0 WHEN 1 THEN p_size + 0.5 END::DOUBLE AS rate FROM part")(
     lambda s, d: of_part(s, d, rate=C.percent(F.expr("CASE p_partkey % 3 WHEN 0 THEN CAST(CAST(p_size / 100 AS DECIMAL(6,2)) AS STRING) WHEN 1 THEN concat(p_size, '.5 %') ELSE '%' END")).cast("double")))
 register("pan_texts", "SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 0 THEN upper(regexp_replace(p_brand || p_partkey, '[^0-9A-Za-z]', '', 'g')) END AS pan FROM part")(
