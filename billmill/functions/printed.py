@@ -31,10 +31,15 @@ def figure(c: Column) -> Column:
 
 def quantity(c: Column) -> Column:
     """(number, unit) of a figure with its unit: the first part that is a figure, the first other one with a letter."""
+
+    def read(x: Column) -> Column:
+        at = F.array_position(F.transform(x["figures"], lambda f: f.isNotNull()), True) - 1
+        units = F.filter(x["parts"], lambda p, i: (i != at) & p.rlike(r"\p{L}"))
+        return F.struct(F.when(at >= 0, F.get(x["figures"], at.cast("int"))).cast("double").alias("number"), F.upper(F.get(units, F.lit(0))).alias("unit"))
+
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  # so that parts and figures are made once
     parts = F.split(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), " ")
-    at = F.array_position(F.transform(parts, lambda p: figure(p).isNotNull()), True) - 1
-    units = F.filter(parts, lambda p, i: (i != at) & p.rlike(r"\p{L}"))
-    return F.struct(F.when(at >= 0, figure(F.get(parts, at.cast("int")))).cast("double").alias("number"), F.upper(F.get(units, F.lit(0))).alias("unit"))
+    return once(parts, lambda p: once(F.struct(p.alias("parts"), F.transform(p, figure).alias("figures")), read))
 
 
 def document_type(text: Column) -> Column:

@@ -43,9 +43,11 @@ def unglued(serial: Column, description: Column) -> Column:
 
 def reconciled(values: Column, tolerance: float = 1.0) -> Column:
     """Of the sources' values, in order, the one that most of them agree with; the first of equals."""
-    some = F.filter(values, lambda v: v.isNotNull())
-    marked = F.transform(some, lambda v, i: F.struct(F.size(F.filter(some, lambda w: F.abs(w - v) <= tolerance)).alias("n"), (-i).alias("at"), v.alias("v")))
-    return F.array_max(marked)["v"]
+
+    def best(some: Column) -> Column:
+        return F.array_max(F.transform(some, lambda v, i: F.struct(F.size(F.filter(some, lambda w: F.abs(w - v) <= tolerance)).alias("n"), (-i).alias("at"), v.alias("v"))))["v"]
+
+    return F.get(F.transform(F.array(F.filter(values, lambda v: v.isNotNull())), best), F.lit(0))  # so that the values are made once
 
 
 def reading_confidence(agree: Column, lines: Column, balanced: Column, gstins: Column, code: Column) -> Column:

@@ -6,7 +6,8 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from billmill.functions import cleaning as C
-from billmill.operators import exports, matching, reports, resolving, sentences, spoken
+from billmill.functions import printed
+from billmill.operators import documents, exports, matching, reports, resolving, sentences, spoken
 
 PARTY = "party_id long, legal_name string, display_name string, state_code string, gstin string"
 ASK = "ask_id long, name string, gstin string, state_code string"
@@ -78,3 +79,14 @@ def test_holdout_of_many_ranges(spark):
     ids = spark.range(0, 500_000, 1, 24).selectExpr("IF(id = 7, NULL, id * 7919 % 500000) AS doc_id")
     got = reports.holdout(ids, "doc_id").groupBy("part").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("none"))
     assert sorted(map(tuple, got.collect())) == [("test", 75_000, 499_999, 1), ("train", 425_000, 425_000, 0)]
+
+
+def test_values_are_made_once(spark):
+    """Of an expression within an expression, Spark makes a copy for each use; what is costly is bound to a name instead."""
+    texts = spark.createDataFrame([("Forty Four and Sixty Six paise Only",), (None,)], "x string").where("x is not null or true")
+    times = lambda c, of: texts.select(c.alias("y"))._jdf.queryExecution().analyzed().toString().count(of)
+    assert times(C.words_amount(F.col("x")), "words?") == 1
+    assert times(documents.reconciled(F.array(C.words_amount(F.col("x")), F.lit(44).cast("decimal(20,2)"))), "words?") == 1
+    assert times(printed.quantity(F.col("x")), "(?U)") == 1
+    assert [r.y for r in texts.select(documents.reconciled(F.array(C.words_amount(F.col("x")), F.lit(45).cast("decimal(20,2)"))).alias("y")).collect()] == [D("44.66"), D("45.00")]
+    assert [tuple(r.y) for r in texts.select(printed.quantity(F.coalesce("x", F.lit("4,000.00 kgs"))).alias("y")).collect()] == [(None, "FORTY"), (4000.0, "KGS")]
